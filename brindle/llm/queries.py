@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brindle.llm.encode import encode_texts
 from brindle.llm.frequent import frequent_values, top_values
 from brindle.llm.glyphs import consistent, same_looking_pairs
+from brindle.llm.packing import pack_documents
 from brindle.session import table
 
 
@@ -44,8 +45,13 @@ def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode_texts(table(spark, root, "documents"))
 
 
+def p7_containers(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, part, start, length, container): all documents in containers of 2,048 tokens of byte_bpe_50k."""
+    return pack_documents(table(spark, root, "documents"), 2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_top, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_top, p6_ids, p7_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
