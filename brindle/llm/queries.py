@@ -11,6 +11,7 @@ from brindle.llm.encode import encode_texts
 from brindle.llm.frequent import frequent_values, top_values
 from brindle.llm.glyphs import consistent, same_looking_pairs
 from brindle.llm.packing import pack_documents
+from brindle.llm.residue import find_residue, without_residue
 from brindle.session import table
 
 
@@ -50,8 +51,18 @@ def p7_containers(spark: SparkSession, root: str) -> DataFrame:
     return pack_documents(table(spark, root, "documents"), 2048)
 
 
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id): documents with residue in place of content."""
+    return find_residue(table(spark, root, "documents")).select("doc_id")
+
+
+def p8_kept(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, n_chars): the documents that remain when those are excluded."""
+    return without_residue(table(spark, root, "documents")).select("doc_id", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_top, p6_ids, p7_containers)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_top, p6_ids, p7_containers, p8_found, p8_kept)}
 
 
 def oracle_sql() -> dict[str, str]:
