@@ -21,12 +21,12 @@ def pair_counts(df: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def key_states(pairs: DataFrame, key: str, partner: str) -> DataFrame:
-    """(k, n_rows, n_partners) of every non-null key of ``pairs`` (key, partner, n), whose rows are distinct pairs.
+    """(k, n_rows, n_partners) of every key of ``pairs`` (key, partner, n), null included, whose rows are distinct pairs.
 
     As pairs are distinct, the number of distinct non-null partners is their plain count: a state of two numbers that
     combines before the shuffle, where a set of partners would grow with the key.
     """
-    return pairs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.sum("n").alias("n_rows"), F.count(partner).alias("n_partners"))
+    return pairs.groupBy(F.col(key).alias("k")).agg(F.sum("n").alias("n_rows"), F.count(partner).alias("n_partners"))
 
 
 def key_profile(df: DataFrame, left: str, right: str) -> DataFrame:
@@ -41,7 +41,9 @@ def key_profile(df: DataFrame, left: str, right: str) -> DataFrame:
     one = key_states(pairs, "a", "b").select("k", F.col("n_rows").alias("s_rows"), F.col("n_partners").alias("s_partners"))
     two = key_states(pairs, "b", "a").select("k", F.col("n_rows").alias("o_rows"), F.col("n_partners").alias("o_partners"))
     zero = {name: F.coalesce(F.col(name), F.lit(0)) for name in ("s_rows", "s_partners", "o_rows", "o_partners")}
-    joined = one.join(two, "k", "full").select("k", *(value.alias(name) for name, value in zero.items()))
+    # The null key is dropped after the join only: a filter on either side would reach the scan and make two different
+    # aggregations by pair of what both sides can share as one exchange.
+    joined = one.join(two, "k", "full").where("k is not null").select("k", *(value.alias(name) for name, value in zero.items()))
     return joined.withColumn("paths", F.col("s_rows").cast("decimal(38,0)") * F.col("o_rows"))
 
 
