@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle import graph_queries
 from brindle.operators import hotkeys, rejects, wide
 from brindle.session import table
 
@@ -137,8 +138,8 @@ def preparation_sql() -> dict[str, str]:
 
 
 def queries() -> dict[str, Query]:
-    return dict(PREPARATION)
+    return graph_queries.queries() | PREPARATION
 
 
 def oracle_sql() -> dict[str, str]:
-    return preparation_sql()
+    return graph_queries.oracle_sql(_lines_sql()) | preparation_sql()
