@@ -142,18 +142,18 @@ SALES: dict[str, tuple[str, str]] = {
     ),
     "variable_case": ("SELECT ?n ?R WHERE { ?n <n_regionkey> ?R . ?R <r_name> ?r }", f"select {_NATION} as n, {_iri('region', 'n_regionkey')} as \"R\" from nation"),
     "filter_eq": ('SELECT ?c WHERE { ?c <c_mktsegment> ?m . FILTER(?m = "BUILDING" "MACHINERY") }', f"select {_CUSTOMER} as c from customer where c_mktsegment in ('BUILDING', 'MACHINERY')"),
-    "filter_ne": ('SELECT ?n WHERE { ?n <n_name> ?x FILTER(?x != "FRANCE") }', f"select {_NATION} as n from nation where n_name <> 'FRANCE'"),
+    "filter_ne": ('SELECT ?n WHERE { ?n <n_name> ?x FILTER(?x != "NATION_7") }', f"select {_NATION} as n from nation where n_name <> 'NATION_7'"),
     "filter_lt": ("SELECT ?s WHERE { ?s <s_acctbal> ?b FILTER(?b < 1000) }", f"select {_SUPPLIER} as s from supplier where cast(s_acctbal as decimal(18, 2)) < 1000"),
     "filter_le": ("SELECT ?p WHERE { ?p <p_size> ?z FILTER(?z <= 5) }", f"select {_iri('part', 'p_partkey')} as p from part where p_size <= 5"),
     "filter_gt": ('SELECT ?o WHERE { ?o <o_orderdate> ?d FILTER(?d > "1998-01-01") }', f"select {_ORDER} as o from orders where strftime(o_orderdate, '%Y-%m-%d') > '1998-01-01'"),
-    "filter_ge": ('SELECT ?n WHERE { ?n <n_name> ?x FILTER(?x >= "M") }', f"select {_NATION} as n from nation where n_name >= 'M'"),
+    "filter_ge": ('SELECT ?n WHERE { ?n <n_name> ?x FILTER(?x >= "NATION_3") }', f"select {_NATION} as n from nation where n_name >= 'NATION_3'"),
     "optional_single": (
         "SELECT ?c ?o WHERE { ?c <c_mktsegment> ?m . OPTIONAL { ?o <o_custkey> ?c } }",
         f"select {_CUSTOMER} as c, {_ORDER} as o from customer left join orders on o_custkey = c_custkey",
     ),
     "optional_filter": (
-        'SELECT ?n ?c WHERE { ?n <n_name> ?x . OPTIONAL { ?c <c_nationkey> ?n . ?c <c_mktsegment> "BUILDING" } FILTER(?x < "F") }',
-        f"select {_NATION} as n, {_CUSTOMER} as c from nation left join customer on c_nationkey = n_nationkey and c_mktsegment = 'BUILDING' where n_name < 'F'",
+        'SELECT ?n ?c WHERE { ?n <n_name> ?x . OPTIONAL { ?c <c_nationkey> ?n . ?c <c_mktsegment> "BUILDING" } FILTER(?x < "NATION_15") }',
+        f"select {_NATION} as n, {_CUSTOMER} as c from nation left join customer on c_nationkey = n_nationkey and c_mktsegment = 'BUILDING' where n_name < 'NATION_15'",
     ),
     "var_predicate_sp_o": (
         "SELECT ?s ?p WHERE { ?s ?p <nation/3> }",
