@@ -74,7 +74,7 @@ _OPENING = re.compile(r"\{\{|\{%|[$#]\{|<[%?#@]|\[\[|@[A-Z]|%[A-Z]|\$[A-Z]{2}|__
 
 #: An instruction in brackets, angle brackets or stars that is a line of its own.
 _HINT = rf"\b(?:insert|add(?:ed)?|fill|to-?do|tbd|tba|fixme|your|here|describe|placeholder|to be|about here|goes here|write|type|enter|replace|lorem|blank|dummy|texte?|texto|insérer|inserer|compléter|completer|rédiger|ajouter|einfügen|einfuegen|ergänzen|eingeben|folgt|hier|insertar|inserte|añadir|agregar|completar|rellenar|escriba|aquí|{PART[3:-1]})\b"
-BRACKETED = re.compile(rf"^(?:\[(?=[^\]\n]*{_HINT})[^\[\]\n|]{{3,160}}\]|<(?![/!?])(?=[^>\n]*{_HINT})[^<>\n|=\"]{{3,160}}>|\*{{2,}}(?=[^*\n]*{_HINT})[^*\n]{{3,160}}\*{{2,}}|\({{2}}[^()\n]{{3,160}}\){{2}})[.:]?$", re.IGNORECASE)
+BRACKETED = re.compile(rf"^(?:\[(?=[^\]\n]*{_HINT})[^\[\]\n|]{{3,160}}\]|<(?![/!?]|(?:html|head|body|meta|div|p|br|hr|span|script|noscript|center|h\d)\b)(?=[^>\n]*{_HINT})[^<>\n|=\"]{{3,160}}>|\*{{2,}}(?=[^*\n]*{_HINT})[^*\n]{{3,160}}\*{{2,}}|\({{2}}[^()\n]{{3,160}}\){{2}})[.:]?$", re.IGNORECASE)
 
 #: Sentences that instruct an author or announce text to come. They make up the whole of a short passage.
 INSTRUCTION = _any(
@@ -123,7 +123,7 @@ ERROR = _any(
     rf"(?:http(?:/\d\.\d)? ?)?(?:error|status|code)?[ :]*[45]\d\d\b[\s:.,|–—-]*(?:{STATUS}|error\b|$)",
     rf"{STATUS}(?:[.!]?$| ?[|:] | [–—-] )",
     rf"error[ :]+(?:[45]\d\d\b|{STATUS})[^.]{{0,60}}\.?$",
-    r"<\?xml\b|<error>|<!doctype html|<html\b|<(?:head|body|title|center|h1)>",
+    r"(?:<\?xml\b[^>]*>\s*)?<error>|<\?xml\b|<!doctype html|<(?:head|body|center|div)[^<>]*>\s*<(?:title|h1|p)>|<(?:title|h1)>",
     r"\{\s*\"(?:status|error|code|message|errors?|detail)\"\s*:",
     r"traceback \(most recent call last\)|(?:[A-Za-z_.]*(?:Error|Exception)): \S|exception in thread \"|(?:php )?(?:fatal error|parse error|warning|notice): {1,2}\w+\(\)|(?:php )?fatal error: |segmentation fault\b|stack trace:|at [\w.$]+\([\w.]+:\d+\)",
     r"(?:an|a) (?:\w+ )?(?:error|exception|problem) (?:has )?occurred\b|something went wrong\b|internal error[.:!]|unexpected error\b",
@@ -163,12 +163,12 @@ CHROME = _any(
     r"skip to (?:main )?content",
     r"cookie (?:settings|policy|preferences)|privacy policy|terms of (?:use|service)|all rights reserved\.?",
     r"(?:\(c\)|©|copyright|powered by)(?![a-z]).{0,60}|©.{0,60}",
-    r"</?(?:html|body|head|hr|center|div|p|br)[^<>]*>(?:.{0,60}</?\w+>)*",
+    r"(?:</?(?:html|body|head|hr|center|div|p|br|main|section|header|footer)\b[^<>]*>\s*)+",
     r"\S+\.example(?: \d{4})?",
     r"[-=_*·. ]{1,40}",
 )
 
-_COMMENT = re.compile(r"(?<!\\)((?:\\\\)*)(?<!\{)%(?!\})(?![A-Z][A-Z0-9_]{2,}%)[^\n]*")
+_COMMENT = re.compile(r"(?<!\\)((?:\\\\)*)(?<![{<])%(?![}>])(?![A-Z][A-Z0-9_]{2,}%)[^\n]*")
 _SKIPPED = re.compile(
     r"\\iffalse\b.*?(?:\\fi\b|\Z)|\\begin\{(comment|verbatim\*?|Verbatim|lstlisting|minted|alltt|filecontents\*?|code|listing)\}.*?(?:\\end\{\1\}|\Z)|\\(?:verb|lstinline)\*?([^\sA-Za-z*])[^\n]*?\2|\\(?:texttt|url|path|code)\{[^{}\n]*\}|```.*?(?:```|\Z)",
     re.DOTALL,
