@@ -200,7 +200,8 @@ def transducer() -> Transducer:
 def consistent(text: Column) -> Column:
     """``text`` in its consistent form; null stays null, empty stays empty.
 
-    Rows in printable ASCII are their own consistent form and skip Python: the Arrow batches hold nulls for them.
+    Rows in printable ASCII are their own consistent form and skip Python: the Arrow batches hold nulls for them. The
+    function is declared non-deterministic, though it isn't, to keep Catalyst from copying it into filters further down.
     """
 
     @F.pandas_udf("string")
@@ -208,6 +209,7 @@ def consistent(text: Column) -> Column:
         change = transducer()
         return texts.map(change, na_action="ignore")
 
+    apply = apply.asNondeterministic()
     plain = text.rlike(r"^[\x20-\x7e\t\n\r]*$")
     return F.when(plain, text).otherwise(apply(F.when(~plain, text)))
 
@@ -218,24 +220,24 @@ def same_looking_pairs(df: DataFrame, key: str, text: str, salt: int = 16) -> Da
     A null text looks like nothing, not even like another null; rows with a null key give no pair. Rows with equal texts
     are no pair, whatever their number. Exactly the pairs asked for are made, none is made and thrown away:
 
-    1. a class of look-alikes exists only where some text is not in consistent form, so the other rows are reduced by a
-       semi join with the forms of those texts;
-    2. within classes, distinct texts are counted (combined before the shuffle) and paired;
-    3. each pair of texts is expanded to rows, the frequent text first and ``salt`` ways split, so that a text held by a
-       third of all rows is spread over ``salt`` tasks.
+    1. equal texts are counted (combined before the shuffle) and brought to their form once each;
+    2. a class of look-alikes exists only where some text is not in consistent form, so the texts are reduced by a semi
+       join with the forms of those, and the distinct texts of a class are paired;
+    3. each pair of texts is expanded to rows, the frequent text first. Rows are spread by text and ``salt``, so that a text
+       held by a third of all rows goes to ``salt`` tasks.
     """
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t"))
-    rows = rows.withColumn("form", consistent(F.col("t")))
-    odd = rows.where("form <> t").select("form").distinct()
-    held = rows.join(odd, "form", "left_semi")
-    texts = held.groupBy("form", "t").agg(F.count(F.lit(1)).alias("n"))
+    texts = rows.groupBy("t").agg(F.count(F.lit(1)).alias("n")).withColumn("form", consistent(F.col("t")))
+    odd = texts.where("form <> t and n > 0").select("form").distinct()  # with n it is the same aggregation, done once
+    texts = texts.join(odd, "form", "left_semi")
     one, two = texts.alias("one"), texts.alias("two")
     more = (F.col("one.n") > F.col("two.n")) | ((F.col("one.n") == F.col("two.n")) & (F.col("one.t") > F.col("two.t")))
     pairs = one.join(two, (F.col("one.form") == F.col("two.form")) & more).select(F.col("one.t").alias("often"), F.col("two.t").alias("rare"))
-    spread = F.sequence(F.lit(0), F.lit(salt - 1))
-    salted = held.select("id", "t", (F.xxhash64("id") % salt + salt).alias("h")).withColumn("salt", F.expr(f"h % {salt}"))
-    left = pairs.withColumn("salt", F.explode(spread)).join(salted.select(F.col("id").alias("a"), F.col("t").alias("often"), "salt"), ["often", "salt"])
-    right = pairs.select("rare").distinct().join(held.select(F.col("id").alias("b"), F.col("t").alias("rare")), "rare")
-    right = right.withColumn("salt", F.explode(spread))
+    spread = F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
+    salted = rows.select("id", "t", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int").alias("salt"))
+    left = pairs.withColumn("salt", spread).join(salted.select(F.col("id").alias("a"), F.col("t").alias("often"), "salt"), ["often", "salt"])
+    # The rows of the rare texts, each repeated for every salt of the rows that it meets.
+    rare = pairs.select("rare").distinct().withColumn("from", spread).join(salted.select(F.col("id").alias("b"), F.col("t").alias("rare"), F.col("salt").alias("from")), ["rare", "from"])
+    right = rare.select("b", "rare", spread.alias("salt"))
     both = left.select("a", "rare", "salt").join(right, ["rare", "salt"])
     return both.select(F.least("a", "b").alias("row_a"), F.greatest("a", "b").alias("row_b"))
