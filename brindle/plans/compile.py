@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.terms import content
 from brindle.plans.order import ordered
-from brindle.plans.syntax import Comparison, Pattern, Query, Var
+from brindle.plans.syntax import Comparison, Pattern, Query, Term, Var
 from brindle.sources.graph import Graph
 
 
@@ -18,39 +18,61 @@ def _internal(name: str) -> str:
     return "v_" + "".join(f"{c.lower()}_" if c.isupper() else c.replace("_", "__") for c in name)
 
 
-def match(graph: Graph, pattern: Pattern) -> DataFrame:
-    """The bindings of one pattern, a column for each of its variables; equal variables must be bound alike.
+def _bindings(found: DataFrame, places: list[tuple[str, Term]]) -> DataFrame:
+    """A column for each variable of ``places`` (column, term); equal variables must be bound alike.
 
-    A pattern without variables gives one row without meaning if the triple exists, else none.
+    Without a variable it is one row without meaning if there is a row at all, else none.
     """
-    found = graph.scan(pattern)
-    places: dict[str, str] = {}
-    for column, term in zip("spo", pattern.terms(), strict=True):
+    bound: dict[str, str] = {}
+    for column, term in places:
         if isinstance(term, Var):
-            if term.name in places:
-                found = found.where(F.col(places[term.name]) == F.col(column))
+            if term.name in bound:
+                found = found.where(F.col(bound[term.name]) == F.col(column))
             else:
-                places[term.name] = column
-    if not places:
+                bound[term.name] = column
+    if not bound:
         return found.select(F.lit(1).alias("exists")).limit(1)
-    bound = found.select(*(F.col(column).alias(_internal(name)) for name, column in places.items()))
+    return found.select(*(F.col(column).alias(_internal(name)) for name, column in bound.items()))
+
+
+def match(graph: Graph, pattern: Pattern) -> DataFrame:
+    """The bindings of one pattern."""
+    found = _bindings(graph.scan(pattern), list(zip("spo", pattern.terms(), strict=True)))
     # Constants and variables fix all three places, so the set of triples is the set of bindings.
-    return bound if graph.is_set else bound.distinct()
+    return found if graph.is_set or not pattern.variables() else found.distinct()
+
+
+def _inputs(graph: Graph, patterns: list[Pattern]) -> list[DataFrame]:
+    """The frames to join, in the order of ``patterns``; patterns that one row answers share a frame."""
+    out, rest = [], list(patterns)
+    while rest:
+        shared = graph.same_row(rest)
+        if shared:
+            taken, rows = shared
+            out.append(_bindings(rows, [("s", taken[0].s), *((f"o{k}", p.o) for k, p in enumerate(taken))]))
+        else:
+            taken = rest[:1]
+            out.append(match(graph, rest[0]))
+        rest = [p for p in rest if p not in taken]
+    return out
 
 
 def _conjunction(graph: Graph, patterns: tuple[Pattern, ...]) -> DataFrame:
     """The inner join of all patterns. Each is an input of its own, joined on every variable that is bound already: the
     closing edge of a cycle is thus an equality on two columns."""
     result: DataFrame | None = None
-    for pattern in ordered(patterns, graph.statistics(), graph.total()):
-        one = match(graph, pattern)
+    waiting = _inputs(graph, ordered(patterns, graph.statistics(), graph.total()))
+    while waiting:
+        # A frame of several patterns may have come before what connects it: it waits for that.
+        at = 0 if result is None else next((k for k, one in enumerate(waiting) if set(one.columns) & set(result.columns)), 0)
+        one = waiting.pop(at)
         if result is None:
             result = one
-        elif not pattern.variables():
-            result = result.crossJoin(one).drop("exists")
         else:
-            shared = [c for c in one.columns if c in result.columns]
+            shared = [c for c in one.columns if c in result.columns and c != "exists"]
             result = result.join(one, shared) if shared else result.crossJoin(one)
+        if "exists" in result.columns and len(result.columns) > 1:
+            result = result.drop("exists")
     if result is None:
         return graph.spark.range(1).select(F.lit(1).alias("exists"))
     return result

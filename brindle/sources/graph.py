@@ -22,6 +22,11 @@ class Graph:
         """(s, p, o) of at least the triples that match the constants of ``pattern``, and of none that doesn't."""
         raise NotImplementedError
 
+    def same_row(self, patterns: list[Pattern]) -> tuple[list[Pattern], DataFrame] | None:
+        """Patterns that one row answers together, the first of ``patterns`` among them, and a frame of such rows with the
+        columns s, o0, o1, ... in their order; null if the graph has no such rows. It spares a star its self joins."""
+        return None
+
     def statistics(self) -> dict[str, Statistics]:
         return {}
 

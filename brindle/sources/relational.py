@@ -96,7 +96,7 @@ class RelationalGraph(Graph):
                 if test is None:
                     return None
                 filters.append(test)
-        rows = self.views[edge.table](self.session, self.root) if edge.table in self.views else table(self.session, self.root, edge.table)
+        rows = self._rows(edge.table)
         for test in filters:
             rows = rows.where(test)
         rows = rows.where(F.col(edge.subject.column).isNotNull() & F.col(edge.object.column).isNotNull())
@@ -104,6 +104,31 @@ class RelationalGraph(Graph):
             rows = rows.select(*dict.fromkeys((edge.subject.column, edge.object.column))).distinct()
         return rows.select(edge.subject.render().alias("s"), F.lit(edge.predicate).alias("p"), edge.object.render().alias("o"))
 
+    def _rows(self, name: str) -> DataFrame:
+        return self.views[name](self.session, self.root) if name in self.views else table(self.session, self.root, name)
+
+    def same_row(self, patterns: list[Pattern]) -> tuple[list[Pattern], DataFrame] | None:
+        """All patterns with the subject of the first whose predicates are columns of one table with that key."""
+        if not isinstance(patterns[0].p, Const) or patterns[0].p.text not in self.edges:
+            return None
+        first = self.edges[patterns[0].p.text]
+        taken = []
+        for pattern in patterns:
+            edge = self.edges.get(pattern.p.text) if isinstance(pattern.p, Const) else None
+            if edge and not edge.repeats and pattern.s == patterns[0].s and (edge.table, edge.subject) == (first.table, first.subject):
+                taken.append((pattern, edge))
+        if len(taken) < 2:
+            return None
+        tests = [F.col(first.subject.column).isNotNull(), *(F.col(edge.object.column).isNotNull() for _, edge in taken)]
+        tests += [edge.object.equals(pattern.o.text) for pattern, edge in taken if isinstance(pattern.o, Const)]
+        if isinstance(patterns[0].s, Const):
+            tests.append(first.subject.equals(patterns[0].s.text))
+        rows = self._rows(first.table)
+        for test in tests:
+            rows = rows.where(F.lit(False) if test is None else test)
+        objects = [edge.object.render().alias(f"o{k}") for k, (_, edge) in enumerate(taken)]
+        return [pattern for pattern, _ in taken], rows.select(first.subject.render().alias("s"), *objects)
+
     def scan(self, pattern: Pattern) -> DataFrame:
         if isinstance(pattern.p, Const):
             edges = [self.edges[pattern.p.text]] if pattern.p.text in self.edges else []

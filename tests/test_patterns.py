@@ -58,6 +58,8 @@ CASES = [
     ("shared", "SELECT ?s ?o WHERE { ?s <nothing> ?o }"),
     ("shared", "SELECT ?s WHERE { ?s <p> ?o . <b> <q> <c> }"),
     ("shared", "SELECT ?s WHERE { ?s <p> ?o . <b> <q> <d> }"),
+    ("shared", "SELECT ?s WHERE { ?s <p> ?o . <b> <q> <c> . <z> <p> <y> }"),
+    ("shared", "SELECT ?s WHERE { <z> <p> <x> . ?s <p> ?o . <b> <q> <c> . <z> <p> <y> }"),
     ("loop", "SELECT ?x WHERE { ?x <p> ?x }"),
     ("loop", "SELECT ?a ?b WHERE { ?a <p> ?b . ?b <p> ?a }"),
     ("loop", "SELECT ?a ?b ?c WHERE { ?a <p> ?b . ?b <p> ?c . ?c <p> ?a }"),
