@@ -126,7 +126,7 @@ ERROR = _any(
     r"(?:<\?xml\b[^>]*>\s*)?<error>|<\?xml\b|<!doctype html|<(?:head|body|center|div)[^<>]*>\s*<(?:title|h1|p)>|<(?:title|h1)>",
     r"\{\s*\"(?:status|error|code|message|errors?|detail)\"\s*:",
     r"traceback \(most recent call last\)|(?:[A-Za-z_.]*(?:Error|Exception)): \S|exception in thread \"|(?:php )?(?:fatal error|parse error|warning|notice): {1,2}\w+\(\)|(?:php )?fatal error: |segmentation fault\b|stack trace:|at [\w.$]+\([\w.]+:\d+\)",
-    r"(?:an|a) (?:\w+ )?(?:error|exception|problem) (?:has )?occurred\b|something went wrong\b|internal error[.:!]|unexpected error\b",
+    r"(?:an|a) (?:\w+ )?(?:error|exception|problem) (?:has )?occurred(?:[.!,]|$| while (?:processing|loading|retrieving|handling|rendering)| (?:on|in) (?:the|this|our) (?:server|page|application))|something went wrong\b|internal error[.:!]|unexpected error\b",
     rf"(?:the )?requested (?:\w+ ){{0,3}}(?:{THING}|\S+) [^.]{{0,60}}(?:not|no longer) (?:be )?(?:found|available|exist)",
     rf"(?:oops|sorry|whoops|uh[- ]oh)[!,.:]",
     rf"we (?:can't|can not|cannot|could not|couldn't|were unable to) (?:find|load|display|retrieve|locate|process) (?:the|that|this|your)\b",
@@ -134,7 +134,7 @@ ERROR = _any(
     rf"(?:could not|cannot|can't|failed to|unable to) (?:load|retrieve|display|open|fetch|connect|establish|render|download|locate)\b",
     rf"(?:your|the|this) (?:session|login|token|link|subscription|trial) (?:has )?(?:expired|timed out|is no longer valid|is invalid)",
     rf"access to (?:this|the) {THING}\b[^.]{{0,80}}(?:denied|restricted|forbidden|blocked)|you (?:don't|do not) have (?:permission|access)\b|your (?:ip|request|access)\b[^.]{{0,40}}(?:blocked|denied|automated|rejected)",
-    rf"(?:this|our|the) (?:site|website|server|service|archive|page|system) (?:is|will be) (?:currently |temporarily )?(?:down|offline|unavailable|under maintenance|undergoing|closed for|being updated|overloaded)",
+    rf"(?:this|our|the) (?:site|website|server|service|archive|page) (?:is|will be) (?:currently |temporarily )?(?:down|offline|unavailable|under maintenance|undergoing (?:\w+ )?maintenance|closed for maintenance|overloaded)",
     rf"(?:\S+: )?(?:this|the) {THING}(?: \S+)? (?:is|was|has been) (?:no longer|not|temporarily|permanently|currently|moved|removed|deleted) ?(?:hosted|available|found|unavailable|here|removed|accessible|$)",
     rf"the {THING} you (?:are looking for|requested|were looking for|tried to)",
     r"erreur (?:interne|[45]\d\d|lors|du serveur)|la page (?:demandée|que vous)\b|page (?:introuvable|non trouvée)|(?:le|la|l') ?(?:document|serveur|page|article|site) \S* ?n'(?:est plus|existe|a pas)|accès (?:refusé|interdit)|une erreur (?:est survenue|s'est produite)|service (?:momentanément |temporairement )?indisponible",

@@ -39,7 +39,7 @@ CONTENT = [
     r"Of the 640 links, 6 per cent returned \texttt{404 Not Found} and a further share timed out.", "% Insert your abstract here.\n% [TODO: fill in]\nThe signal is weak.", "\\iffalse\n[Insert discussion here]\nLorem ipsum dolor sit amet.\n\\fi\nThe signal is weak.",
     "\\begin{lstlisting}\n<h1>{{ page.title }}</h1>\n\\end{lstlisting}\nThe listing shows the syntax; slots such as \\verb|{{ name }}| are reported.", "\\begin{verbatim}\nexport DATA=${HOME}/runs\nsed s/@@SEED@@/17/ x\n\\end{verbatim}",
     r"In the automaton \texttt{XXX} stands for any letter, and \texttt{[X]} for any class.", r"We write ${{\cal A}}_{n}$ and $\{\{x, y\}\}$ for multisets; the index is \#1.", "[INST] is the name of the institute. </s>", "<|endoftext|>", "A placeholder symbol is used where a value is missing in the sample.",
-    "\\begin{comment}\n[your text here]\n\\end{comment}\nA real note.", "The sample {na} was measured once.", "Not found in earlier work, the effect is small.", "The requested precision was not reached.",
+    "\\begin{comment}\n[your text here]\n\\end{comment}\nA real note.", "The sample {na} was measured once.", "Not found in earlier work, the effect is small.", "The requested precision was not reached.", "An error occurred in the second run and was corrected.", "The system is closed for all finite times.",
 ]
 
 
