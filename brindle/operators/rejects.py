@@ -38,6 +38,9 @@ CONTENT = {
     "boolean": r"true|false|1|0",
 }
 
+#: Bytes of lines whose structure is indexed at once.
+SLICE = 4_000_000
+
 QUOTING, COLUMN_COUNT, INVALID_VALUE = "quoting", "column_count", "invalid_value"
 
 
@@ -58,13 +61,13 @@ class Index:
     """Where the terms of a batch of trimmed lines begin and end, and which lines are broken in their structure."""
 
     def __init__(self, lines: pa.LargeStringArray):
-        ends = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + len(lines) + 1]
+        ends = _ends(lines)
         data = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-        ends = ends - ends[0]
+        ends = (ends - ends[0]).astype(np.int32 if len(data) < 2**31 else np.int64)
         self.start, self.end, n = ends[:-1], ends[1:], len(data)
-        line = np.repeat(np.arange(len(lines)), np.diff(ends))
+        line = np.repeat(np.arange(len(lines), dtype=np.int32), np.diff(ends))
         first = self.start[line]
-        at = np.arange(n)
+        at = np.arange(n, dtype=ends.dtype)
 
         # Escapes: a byte after an odd run of backslashes on its line.
         plain = np.maximum.accumulate(np.where(data != 92, at, -1)) if n else at
@@ -73,7 +76,7 @@ class Index:
 
         # Quotes: parity from the start of the line; odd from an opening quote up to the byte before the closing one.
         quote = (data == 34) & ~escaped
-        count = np.cumsum(quote)
+        count = np.cumsum(quote, dtype=ends.dtype)
         before = np.concatenate(([0], count))
         parity = (count - before[first]) % 2
         literal = parity == 1
@@ -81,8 +84,8 @@ class Index:
         odd = (before[self.end] - before[self.start]) % 2 == 1
 
         # Brackets outside literals must alternate.
-        step = np.where(literal | closing, 0, (data == 60).astype(np.int8) - (data == 62).astype(np.int8)).astype(np.int64)
-        depth_all = np.cumsum(step)
+        step = np.where(literal | closing, 0, (data == 60).astype(np.int8) - (data == 62).astype(np.int8))
+        depth_all = np.cumsum(step, dtype=ends.dtype)
         depth_before = np.concatenate(([0], depth_all))
         depth = depth_all - depth_before[first]
         wrong = np.bincount(line[(depth < 0) | (depth > 1)], minlength=len(lines)) > 0
@@ -91,7 +94,7 @@ class Index:
 
         # Delimiters outside literals and brackets; terms are the runs between them.
         white = (data == 32) | (data == 9)
-        self.white = delimiter = white & ~inside
+        delimiter = white & ~inside
         new = np.concatenate(([True], delimiter[:-1])) if n else delimiter
         begins = ~delimiter & (new | (at == first))
         last = at == self.end[line] - 1
@@ -123,6 +126,20 @@ class Index:
         self.begin, self.finish, self.of = self.begin[keep], self.finish[keep], self.of[keep]
 
 
+def _ends(lines: pa.LargeStringArray) -> np.ndarray:
+    return np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + len(lines) + 1]
+
+
+def _slices(lines: pa.Array) -> Iterator[pa.Array]:
+    """``lines`` in slices of about ``SLICE`` bytes: the masks of a slice take some 40 bytes for each of its bytes."""
+    starts = _ends(lines.cast(pa.large_string()))
+    at = 0
+    while at < len(lines):
+        end = max(at + 1, int(np.searchsorted(starts, starts[at] + SLICE, "right")) - 1)
+        yield lines.slice(at, end - at)
+        at = end
+
+
 def split_lines(lines: pa.Array) -> tuple[np.ndarray, list[pa.Array], pa.Array]:
     """(which, [s, p, o], reason) of an array of lines: the numbers of the lines that are neither blank nor comments,
     their terms (null for a reject) and their reason (null for a good line)."""
@@ -176,10 +193,12 @@ def load_lines(df: DataFrame, key: str = "line_id", line: str = "line") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            which, terms, reason = split_lines(batch.column(1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(which)), *(x.cast(pa.string()) for x in terms), reason], names=[key, "s", "p", "o", "reason"]
-            )
+            at = 0
+            for part in _slices(batch.column(1)):
+                which, terms, reason = split_lines(part)
+                keys = batch.column(0).slice(at, len(part)).take(pa.array(which))
+                at += len(part)
+                yield pa.RecordBatch.from_arrays([keys, *(x.cast(pa.string()) for x in terms), reason], names=[key, "s", "p", "o", "reason"])
 
     schema = T.StructType([df.schema[key], *(T.StructField(x, T.StringType(), True) for x in ("s", "p", "o", "reason"))])
     return df.select(key, line).mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -82,6 +83,12 @@ def _number(text: Column) -> Column:
     return text.try_cast("double")
 
 
+def _never_a_number(text: str) -> bool:
+    """Whether a value surely is no number, so that its comparison is a plain one that scans get pushed."""
+    inner = text[1 : text.rindex('"')] if text.startswith('"') and text.count('"') > 1 else text
+    return not re.search(r"\d", inner) and not re.fullmatch(r"\s*[+-]?(?:nan|inf|infinity)\s*", inner, re.IGNORECASE)
+
+
 def condition(test: Comparison) -> Column:
     """Numbers are compared as such if both sides are; else terms are equal if written alike, and ordered by their
     content, by code points. An unbound variable fulfils nothing."""
@@ -100,6 +107,8 @@ def condition(test: Comparison) -> Column:
             ">": (lambda a, b: a > b, lambda: text > other_text),
             ">=": (lambda a, b: a >= b, lambda: text >= other_text),
         }[test.operator]
+        if _never_a_number(value):
+            return compare[1]()
         return F.when(both, compare[0](_number(text), _number(other_text))).otherwise(compare[1]())
 
     return reduce(lambda a, b: a | b, map(one, test.values))

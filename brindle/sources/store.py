@@ -103,14 +103,14 @@ class Store:
         counts = self.spark.read.parquet(f"{path}/counted")
         most = counts.where(F.col("rows") >= heavy_rows).orderBy(F.desc("rows"), "p").limit(HEAVY_MOST).collect()
         heavy = {row.p: k for k, row in enumerate(most)}
-        part = -1 - F.crc32(F.col("p").cast("binary")) % TAIL_PARTS
-        for p, k in heavy.items():
-            part = F.when(F.col("p") == p, F.lit(k)).otherwise(part)
-        placed = unique.select("s", "p", "o", part.cast("int").alias("part"))
+        tail = -1 - F.crc32(F.col("p").cast("binary")) % TAIL_PARTS
+        # At most HEAVY_MOST rows: a broadcast of bounded size.
+        own = F.broadcast(self.spark.createDataFrame(list(heavy.items()), "p string, own int"))
+        placed = unique.join(own, "p", "left").select("s", "p", "o", F.coalesce("own", tail).cast("int").alias("part"))
         for folder, order in (("pso", ["p", "s", "o"]), ("pos", ["p", "o", "s"])):
             sorted_rows = placed.repartitionByRange("part", *order).sortWithinPartitions("part", *order)
             sorted_rows.write.mode("overwrite").partitionBy("part").parquet(f"{path}/{folder}")
-        counts.withColumn("part", part.cast("int")).coalesce(8).write.mode("overwrite").parquet(f"{path}/predicates")
+        counts.join(own, "p", "left").withColumn("part", F.coalesce("own", tail).cast("int")).drop("own").coalesce(8).write.mode("overwrite").parquet(f"{path}/predicates")
         sums = unique.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("triplets"), F.count(F.lit(1)).alias("triples")).first()
         entities = unique.select(F.explode(F.array("s", "o")).alias("x")).distinct().count()
         info = {"triplets": sums.triplets, "triples": sums.triples, "predicates": counts.count(), "entities": entities}

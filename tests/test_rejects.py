@@ -59,6 +59,15 @@ def test_empty_long_and_missing(spark):
         load_lines(spark.range(1))
 
 
+def test_slices_are_put_together_again(spark, monkeypatch):
+    from brindle.operators import rejects
+
+    lines = pa.array(['<a> <p> "' + "x" * k + '" .' for k in range(50)] + [None, "", "<a>", "<a> <p> <b>"])
+    monkeypatch.setattr(rejects, "SLICE", 100)
+    slices = list(rejects._slices(lines))
+    assert pa.concat_arrays(slices).equals(lines) and len(slices) > 10 and all(len(x) for x in slices)
+
+
 def slow(line):
     """The structure of a line, one character after another: None, a reason, or the number of terms."""
     line = line.strip(" \t\r\n")
