@@ -9,6 +9,8 @@ No step holds all distinct values in memory, and nothing is sent to the driver.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +42,9 @@ def frequent_values(df: DataFrame, fields: list[str], share: float) -> DataFrame
     """(field, item, n): the non-null values that occur in at least ``share`` of all rows of ``df``.
 
     At most 1/share values of a field can reach the share, so the top 1/share of the exact ranking hold them all: the
-    result comes out of ``top_values`` and is then compared with the exact number of rows.
+    result comes out of ``top_values`` and is then compared with the exact number of rows, in whole numbers.
     """
-    rows = df.agg(F.count(F.lit(1)).alias("rows"))
-    best = top_values(df, fields, int(1 / share + 1e-9))
-    return best.where(F.col("n") >= F.lit(share) * rows.scalar()).select("field", "item", "n")
+    part = Fraction(str(share))
+    rows = df.agg((F.count(F.lit(1)) * part.numerator).alias("rows"))
+    best = top_values(df, fields, int(1 / part))
+    return best.where(F.col("n") * part.denominator >= rows.scalar()).select("field", "item", "n")
