@@ -7,6 +7,8 @@ up. Spark combines each aggregation in the map tasks, so of a hot key one row fo
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +57,9 @@ def side_rows(profile: DataFrame) -> DataFrame:
 
 def frequent_keys(df: DataFrame, left: str, right: str, share: float) -> DataFrame:
     """(side, k, n_rows, n_partners): the keys that hold at least ``share`` of all rows of ``df`` on a side."""
-    rows = df.agg(F.count(F.lit(1)).alias("rows"))
-    return side_rows(key_profile(df, left, right)).where(F.col("n_rows") >= F.lit(share) * rows.scalar())
+    part = Fraction(str(share))
+    rows = df.agg((F.count(F.lit(1)) * part.numerator).alias("rows"))
+    return side_rows(key_profile(df, left, right)).where(F.col("n_rows") * part.denominator >= rows.scalar())
 
 
 def join_counts(left: DataFrame, right: DataFrame, on: str, by_left: list[str], by_right: list[str]) -> DataFrame:
