@@ -1,9 +1,8 @@
 """Most frequent values of columns with very many distinct ones (problem 3).
 
-Exact counts by spillable aggregation. All columns are counted in one pass over the table: each row becomes one row per
-column, Spark's hash aggregation combines equal values before the shuffle (and turns to sorted runs on disk where its
-memory ends), values are hash-partitioned, and each partition finishes its counts on its own. The ranking first keeps the
-best ``k`` of every partition and only then sorts these, at most k x partitions rows for a column, for the final limit.
+Exact counts by spillable aggregation: Spark's hash aggregation combines equal values before the shuffle (and turns to
+sorted runs on disk where its memory ends), values are hash-partitioned, and each partition finishes its counts on its own.
+The ranking keeps the best ``k`` of every partition and merges these, at most k x partitions rows, for the final limit.
 No step holds all distinct values in memory, and nothing is sent to the driver.
 """
 
@@ -30,12 +29,18 @@ def top_values(df: DataFrame, fields: list[str], k: int) -> DataFrame:
     """(field, item, n, rank): the ``k`` most frequent non-null values of each field with their exact counts.
 
     Ties are ordered by the value, so that the result is defined; ranks are 1, 2, ... An empty table gives no rows, a
-    field with fewer than ``k`` values gives all of them. Spark keeps the best k of each partition before the exchange
-    (WindowGroupLimit), so the last step sees k rows from each partition.
+    field with fewer than ``k`` values gives all of them. Each field is an aggregation of its own column; its ordered limit
+    (TakeOrderedAndProject) holds the best k of a partition in a heap, without sorting the rest, and merges k rows from
+    each partition. Ranks are given to those k rows only.
     """
+    best = None
+    for name in fields:
+        item = F.col(f"`{name}`").cast("string").alias("item")
+        counts = df.select(item).where("item is not null").groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+        one = counts.orderBy(F.desc("n"), F.asc("item")).limit(k).select(F.lit(name).alias("field"), "item", "n")
+        best = one if best is None else best.unionByName(one)
     order = Window.partitionBy("field").orderBy(F.desc("n"), F.asc("item"))
-    counts = count_values(df, fields).where("item is not null")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(order))
 
 
 def frequent_values(df: DataFrame, fields: list[str], share: float) -> DataFrame:
