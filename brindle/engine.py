@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brindle.plans.compile import compile_query
 from brindle.plans.syntax import Query, parse
-from brindle.sources.graph import FrameGraph, Graph
+from brindle.sources.graph import FrameGraph, Graph, StoredGraph
 from brindle.sources.store import Store
 
 
@@ -37,20 +37,22 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, Store(spark, root)
-        self._open: dict[str, Graph] = {}
+        self._open: dict[str, StoredGraph] = {}
 
     def create(self, name: str, file: str) -> dict[str, int]:
         """Build a database from a file of triples, in place of one of that name."""
-        self._open.pop(name, None)
+        self.close(name)
         return self.store.create_from_file(name, file)
 
-    def graph(self, name: str) -> Graph:
+    def graph(self, name: str) -> StoredGraph:
         if name not in self._open:
             self._open[name] = self.store.open(name)
         return self._open[name]
 
     def close(self, name: str) -> None:
-        self._open.pop(name, None)
+        graph = self._open.pop(name, None)
+        if graph:
+            graph.release()
 
     def delete(self, name: str) -> bool:
         self.close(name)

@@ -16,6 +16,7 @@ from brindle.session import shared_dir, table
 from brindle.sources.graph import FrameGraph
 from brindle.sources.relational import sales_graph
 from brindle.sources.store import Store
+from brindle.sources.termids import number_terms, term_zones
 
 
 def _iri(kind: str, column: str) -> str:
@@ -212,6 +213,8 @@ TRIPLES: dict[str, tuple[str, str]] = {
     ),
 }
 
+_ZONES = f"(select distinct s as term, 's' as z from {_T} union all select distinct o, 'o' from {_T})"
+
 
 def _over_sales(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, root: sparql(sales_graph(spark, root), text)
@@ -275,7 +278,25 @@ def stored_database(spark: SparkSession, root: str) -> DataFrame:
     return sparql(store.open("delivered"), "SELECT ?s ?o WHERE { ?s <rdf/type> ?t . ?s <prop/label> ?o }")
 
 
-_OTHER = (var_predicate_spo, limit_rows, result_count, db_info, predicate_stats, lookup_by_subject, lookup_by_object, stored_database)
+def subjects_of_links(spark: SparkSession, root: str) -> DataFrame:
+    """(p, s): the distinct subjects of each predicate of kind link, as one scan over all of them."""
+    links = table(spark, root, "predicates").where("kind = 'link'").select("p")
+    rows = table(spark, root, "dictionary").where("s is not null and o is not null").select("p", "s").distinct()
+    return rows.join(links, "p", "left_semi")
+
+
+def term_zone(spark: SparkSession, root: str) -> DataFrame:
+    """(term, zone) of every subject and object of ``dictionary``."""
+    return term_zones(table(spark, root, "dictionary").where("s is not null and p is not null and o is not null"))
+
+
+def term_ids(spark: SparkSession, root: str) -> DataFrame:
+    """(term_id, term, zone): dense ids, shared terms first, then subjects, then objects, each by text."""
+    triples = table(spark, root, "dictionary").where("s is not null and p is not null and o is not null")
+    return number_terms(spark, triples, f"{shared_dir(spark)}/terms")
+
+
+_OTHER = (subjects_of_links, term_zone, term_ids, var_predicate_spo, limit_rows, result_count, db_info, predicate_stats, lookup_by_subject, lookup_by_object, stored_database)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -297,6 +318,10 @@ def oracle_sql(lines_sql: str) -> dict[str, str]:
             "db_info": f"""select (select count(*) from dictionary where s is not null and p is not null and o is not null) as triplets, count(*) as triples,
                 count(distinct p) as predicates, (select count(*) from (select s from {_T} union select o from {_T})) as entities from {_T}""",
             "predicate_stats": f"select p, cast(count(*) as bigint) as rows, count(distinct s) as subjects, count(distinct o) as objects from {_T} group by p",
+            "subjects_of_links": f"select distinct p, s from {_T} where p in (select p from predicates where kind = 'link')",
+            "term_zone": f"select term, case when count(*) = 2 then 'shared' when min(z) = 's' then 'subject' else 'object' end as zone from {_ZONES} group by term",
+            "term_ids": f"""with z as (select term, case when count(*) = 2 then 0 when min(z) = 's' then 1 else 2 end as k from {_ZONES} group by term)
+                select row_number() over (order by k, term) as term_id, term, case k when 0 then 'shared' when 1 then 'subject' else 'object' end as zone from z""",
             "lookup_by_subject": f"select p, o from {_T} where s = '<ent/stn-0>'",
             "lookup_by_object": f"select s, p from {_T} where o = '<ent/stn-0>'",
             "stored_database": f"""with l as ({lines_sql}), d as (select distinct s, p, o from l)

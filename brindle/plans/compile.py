@@ -58,9 +58,13 @@ def _inputs(graph: Graph, patterns: list[Pattern]) -> list[DataFrame]:
     return out
 
 
-def _conjunction(graph: Graph, patterns: tuple[Pattern, ...]) -> DataFrame:
+def _conjunction(graph: Graph, patterns: tuple[Pattern, ...], wanted: set[str] | None = None) -> DataFrame:
     """The inner join of all patterns. Each is an input of its own, joined on every variable that is bound already: the
-    closing edge of a cycle is thus an equality on two columns."""
+    closing edge of a cycle is thus an equality on two columns.
+
+    With ``wanted`` the columns that are used afterwards are known and duplicates don't matter: an input that only tests
+    whether something exists is then a semi join, which never multiplies rows.
+    """
     result: DataFrame | None = None
     waiting = _inputs(graph, ordered(patterns, graph.statistics(), graph.total()))
     while waiting:
@@ -71,7 +75,14 @@ def _conjunction(graph: Graph, patterns: tuple[Pattern, ...]) -> DataFrame:
             result = one
         else:
             shared = [c for c in one.columns if c in result.columns and c != "exists"]
-            result = result.join(one, shared) if shared else result.crossJoin(one)
+            used = None if wanted is None else wanted.union(*(set(x.columns) for x in waiting))
+            if used is not None and shared and not (set(one.columns) - set(shared)) & used:
+                # Distinct keys first: that combines a hot key in the map tasks, and the join uses the same exchange.
+                result = result.join(one.select(shared).distinct(), shared, "left_semi")
+            elif used is not None and shared and not (set(result.columns) - set(shared)) & used:
+                result = one.join(result.select(shared).distinct(), shared, "left_semi")
+            else:
+                result = result.join(one, shared) if shared else result.crossJoin(one)
         if "exists" in result.columns and len(result.columns) > 1:
             result = result.drop("exists")
     if result is None:
@@ -120,7 +131,11 @@ def compile_query(graph: Graph, query: Query) -> DataFrame:
     OPTIONAL groups are joined to the required patterns in their order of writing, FILTERs are applied to the result,
     then come projection, DISTINCT or COUNT, and LIMIT. COUNT gives each distinct row with its number of occurrences.
     """
-    result = _conjunction(graph, query.patterns)
+    wanted = None
+    if query.modifier == "DISTINCT":
+        wanted = {_internal(name) for name in query.projection} | {_internal(f.variable) for f in query.filters}
+        wanted |= {_internal(name) for group in query.optionals for p in group for name in p.variables()}
+    result = _conjunction(graph, query.patterns, wanted)
     required = set().union(*(p.variables() for p in query.patterns))
     early = [f for f in query.filters if f.variable in required]
     for test in early:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.plans.order import UNKNOWN, Statistics
-from brindle.plans.syntax import Const, Pattern
+from brindle.plans.syntax import Const, Pattern, Var
 
 
 class Graph:
@@ -81,12 +82,26 @@ class StoredGraph(Graph):
     tail: int
     known: dict[str, Statistics]
     sums: Statistics
+    kept: dict[str, DataFrame] = field(default_factory=dict)
 
     @property
     def spark(self) -> SparkSession:
         return self.session
 
+    def preload(self, predicates: list[str]) -> None:
+        """Keep the triples of some predicates in memory, spilling to disk, for queries that follow."""
+        for p in predicates:
+            if p not in self.kept:
+                self.kept[p] = self.scan(Pattern(Var("s"), Const(p), Var("o"))).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def release(self) -> None:
+        for frame in self.kept.values():
+            frame.unpersist()
+        self.kept.clear()
+
     def scan(self, pattern: Pattern) -> DataFrame:
+        if isinstance(pattern.p, Const) and pattern.p.text in self.kept:
+            return constants(self.kept[pattern.p.text], pattern)
         by_object = isinstance(pattern.o, Const) and not isinstance(pattern.s, Const)
         held = self.session.read.schema("s string, p string, o string, part int").parquet(f"{self.path}/{'pos' if by_object else 'pso'}")
         if isinstance(pattern.p, Const):

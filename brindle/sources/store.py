@@ -151,6 +151,11 @@ class Store:
         sums = Statistics(info["triples"], info["entities"], info["entities"])
         return StoredGraph(self.spark, path, ready["heavy"], ready["tail"], known, sums)
 
+    def export(self, name: str, path: str) -> None:
+        """Write the triples (s, p, o) of a database as plain Parquet."""
+        self._read(valid_name(name), "READY")
+        self.spark.read.parquet(f"{self.root}/{name}/pso").select("s", "p", "o").write.parquet(path)
+
     def predicate_statistics(self, name: str) -> DataFrame:
         """(p, part, rows, subjects, objects); the distinct counts are estimates within about 2 %."""
         self._read(valid_name(name), "READY")

@@ -64,6 +64,17 @@ def test_partition_of_a_predicate_is_pruned(engine):
     assert engine.delete("heavy") and not engine.delete("heavy")
 
 
+def test_preloaded_predicates_and_export(spark, engine, tmp_path):
+    text = "SELECT ?s ?o WHERE { ?s <p> <b> . <b> <q> ?o }"
+    before = engine.answer("one", text).rows
+    engine.graph("one").preload(["<p>", "<p>", "<none>"])
+    assert "InMemoryTableScan" in engine.query("one", text)._jdf.queryExecution().toString() and engine.answer("one", text).rows == before
+    engine.close("one")
+    assert "InMemoryTableScan" not in engine.query("one", text)._jdf.queryExecution().toString()
+    engine.store.export("one", str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
 def test_command_line(engine):
     args = arguments().parse_args(["build", "--database", "x", "-f", "y"])
     assert (args.command, args.db, args.file) == ("build", "x", "y")
