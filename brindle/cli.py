@@ -33,7 +33,7 @@ def run_queries(engine: Engine, name: str, lines: list[str], out=sys.stdout) ->
     texts = [line.strip() for line in lines if line.strip()]
     for k, text in enumerate(texts, 1):
         if len(texts) > 1:
-            print(f"{k} {'-' * 66}\n{text}", file=out)
+            print(f"[{k}] {text}", file=out)
         began = perf_counter()
         frame = compile_query(engine.graph(name), parse(text))
         planned = perf_counter()
@@ -43,9 +43,9 @@ def run_queries(engine: Engine, name: str, lines: list[str], out=sys.stdout) ->
             print(" ".join("" if x is None else str(x) for x in row), file=out)
             rows, shown = rows + 1, shown + perf_counter() - at
         ended = perf_counter()
-        print(f"{rows} result(s).", file=out)
-        for what, seconds in (("generate plan takes", planned - began), ("execute takes", ended - planned - shown), ("output result takes", shown), ("query cost", ended - began)):
-            print(f"{what} {seconds * 1e3:.3f} ms.", file=out)
+        print(f"rows: {rows}", file=out)
+        for what, seconds in (("plan", planned - began), ("execution", ended - planned - shown), ("output", shown), ("total", ended - began)):
+            print(f"{what}: {seconds * 1e3:.3f} ms", file=out)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -56,7 +56,7 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "build":
             began = perf_counter()
             engine.create(args.db, args.file)
-            print(f"Creating {args.db} takes {(perf_counter() - began) * 1e3:.3f} ms.")
+            print(f"{args.db} was built in {(perf_counter() - began) * 1e3:.3f} ms")
         elif args.command == "query":
             with open(args.file, encoding="utf-8") as file:
                 run_queries(engine, args.db, file.readlines())

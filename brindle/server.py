@@ -54,16 +54,16 @@ class Service:
 
     def create(self, body: dict) -> tuple[int, dict]:
         if not body.get("db_name"):
-            return 200, {"code": NO_CREATE_NAME, "message": "Didn't specify a rdf name"}
+            return 200, {"code": NO_CREATE_NAME, "message": "db_name is missing"}
         if not body.get("file_name"):
-            return 200, {"code": NO_CREATE_FILE, "message": "Didn't specify a data file name"}
+            return 200, {"code": NO_CREATE_FILE, "message": "file_name is missing"}
         self.engine.create(body["db_name"], body["file_name"])
-        return 200, {"code": OK, "message": f"Create {body['db_name']} successfully!"}
+        return 200, {"code": OK, "message": f"{body['db_name']} is created"}
 
     def load(self, body: dict) -> tuple[int, dict]:
         name = body.get("db_name")
         if not name:
-            return 200, {"code": NO_NAME, "message": "Didn't specify a rdf name"}
+            return 200, {"code": NO_NAME, "message": "db_name is missing"}
         with self.lock:
             if name == self.current:
                 return 200, {"code": LOADED, "message": f"{name} is loaded already"}
@@ -82,7 +82,7 @@ class Service:
     def delete(self, body: dict) -> tuple[int, dict]:
         name = body.get("db_name")
         if not name:
-            return 200, {"code": NO_NAME, "message": "Didn't specify a rdf name"}
+            return 200, {"code": NO_NAME, "message": "db_name is missing"}
         try:
             gone = self.engine.delete(name)
         except StoreError:
@@ -153,7 +153,7 @@ def handler(service: Service, origin: str = "*", base: str = BASE) -> type[BaseH
                 if (method, name) == ("GET", "sparql"):
                     out = service.sparql(parse_qs(url.query).get("query", [""])[0])
                 elif (method, name) == ("GET", "disconnect"):
-                    out = 200, {"code": OK, "message": "Disconnected"}
+                    out = 200, {"code": OK, "message": "the server stops"}
                     threading.Thread(target=self.server.shutdown, daemon=True).start()
                 elif service.fixed:
                     out = 404, {"message": "not offered"}
