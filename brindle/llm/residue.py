@@ -177,7 +177,7 @@ _TAIL = re.compile(r"\\begin\{thebibliography\}.*?(?:\\end\{thebibliography\}|\Z
 _CUT = re.compile(
     r"\n[ \t]*\n|\\(?:sub)*(?:section|paragraph)\*?(?:\[[^\]\n]*\])?\{[^\n]*|\\chapter\*?\{[^\n]*|\\(?:begin|end)\{[^{}\n]*\}(?:\[[^\]\n]*\]|\{[^{}\n]*\})*|\\(?:item|maketitle|label\{[^{}\n]*\}|tableofcontents|newpage|clearpage|centering|noindent|bibliographystyle\{[^{}\n]*\}|bibliography\{[^{}\n]*\}|date\{[^{}\n]*\}|input\{[^{}\n]*\}|include\{[^{}\n]*\}|includegraphics\S*|appendix)(?![A-Za-z])"
 )
-_HEADED = re.compile(r"\\(title|author)\s*(?:\[[^\]\n]*\])?\s*\{")
+_HEADED = re.compile(r"\\(title|author|caption)\s*(?:\[[^\]\n]*\])?\s*\{")
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+|\n+")
 
@@ -203,7 +203,7 @@ def visible(text: str) -> str:
 
 
 def passages(text: str) -> Iterator[tuple[str, str]]:
-    """(role, passage) of a text made visible: title, author, and each paragraph of abstract and body."""
+    """(role, passage) of a text made visible: title, author, and each caption and paragraph of abstract and body."""
     start = text.find("\\begin{document}")
     head = text if start < 0 else text[:start]
     body = text if start < 0 else text[start + 16 :]
@@ -211,7 +211,7 @@ def passages(text: str) -> Iterator[tuple[str, str]]:
     for part in {head, body}:
         for found in _HEADED.finditer(part):
             argument, end = _argument(part, found.end())
-            yield found.group(1), argument
+            yield "body" if found.group(1) == "caption" else found.group(1), argument
             if part is body:
                 spans.append((found.start(), end))
     for a, b in reversed(spans):

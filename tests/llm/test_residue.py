@@ -28,7 +28,7 @@ WHOLE = [
 ]
 
 PASSAGES = [
-    r"\lipsum[2-4]", r"\blindtext", "Lorem ipsum dolor sit amet labore nostrud.", "Excepteur tempor labore aute veniam esse officia velit.", "[TODO: describe the data set]", "[Insert discussion here]", "<Your text goes here>",
+    r"\lipsum[2-4]", r"\blindtext", "\\begin{figure}\n\\caption{Insert caption here.}\n\\end{figure}", "Lorem ipsum dolor sit amet labore nostrud.", "Excepteur tempor labore aute veniam esse officia velit.", "[TODO: describe the data set]", "[Insert discussion here]", "<Your text goes here>",
     "*** fill in results ***", "Write this section.", "XXX PLACEHOLDER PARAGRAPH XXX", "xxxxxxxxxxxxxxxxxxxxxxx\nxxxxxxxxxxxxxxxxx", "undefined\n\nNaN", "{{ section.text }}", "<%= body %>", "${results}", "@@BODY@@", "<#include 'model.tex'>",
     "In this paper we present {contribution} for {problem}.", "Skip to main content\nYour session has expired. Log in again to download it.", "This page requires JavaScript.", "Texte à insérer ici.", "Dies ist ein Blindtext.", "503 Service Unavailable: upstream returned no data",
 ]
