@@ -296,7 +296,12 @@ def term_ids(spark: SparkSession, root: str) -> DataFrame:
     return number_terms(spark, triples, f"{shared_dir(spark)}/terms")
 
 
-_OTHER = (subjects_of_links, term_zone, term_ids, var_predicate_spo, limit_rows, result_count, db_info, predicate_stats, lookup_by_subject, lookup_by_object, stored_database)
+def triangle_binary(spark: SparkSession, root: str) -> DataFrame:
+    """(a, b, c): ``triangle`` by binary joins, for comparison."""
+    return sparql(sales_graph(spark, root), SALES["triangle"][0], multiway=False)
+
+
+_OTHER = (triangle_binary, subjects_of_links, term_zone, term_ids, var_predicate_spo, limit_rows, result_count, db_info, predicate_stats, lookup_by_subject, lookup_by_object, stored_database)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -318,6 +323,7 @@ def oracle_sql(lines_sql: str) -> dict[str, str]:
             "db_info": f"""select (select count(*) from dictionary where s is not null and p is not null and o is not null) as triplets, count(*) as triples,
                 count(distinct p) as predicates, (select count(*) from (select s from {_T} union select o from {_T})) as entities from {_T}""",
             "predicate_stats": f"select p, cast(count(*) as bigint) as rows, count(distinct s) as subjects, count(distinct o) as objects from {_T} group by p",
+            "triangle_binary": SALES["triangle"][1],
             "subjects_of_links": f"select distinct p, s from {_T} where p in (select p from predicates where kind = 'link')",
             "term_zone": f"select term, case when count(*) = 2 then 'shared' when min(z) = 's' then 'subject' else 'object' end as zone from {_ZONES} group by term",
             "term_ids": f"""with z as (select term, case when count(*) = 2 then 0 when min(z) = 's' then 1 else 2 end as k from {_ZONES} group by term)

@@ -58,9 +58,41 @@ def _inputs(graph: Graph, patterns: list[Pattern]) -> list[DataFrame]:
     return out
 
 
-def _conjunction(graph: Graph, patterns: tuple[Pattern, ...], wanted: set[str] | None = None) -> DataFrame:
-    """The inner join of all patterns. Each is an input of its own, joined on every variable that is bound already: the
-    closing edge of a cycle is thus an equality on two columns.
+def _closing(result: DataFrame, waiting: list[DataFrame]) -> list[int]:
+    """The numbers of at least two inputs that bind one and the same new variable, their other variables being bound."""
+    by_new: dict[str, list[int]] = {}
+    for k, one in enumerate(waiting):
+        new = [c for c in one.columns if c not in result.columns]
+        if len(new) == 1 and len(one.columns) > 1:
+            by_new.setdefault(new[0], []).append(k)
+    return next((found for found in by_new.values() if len(found) > 1), [])
+
+
+def _multiway(result: DataFrame, inputs: list[DataFrame]) -> DataFrame:
+    """Bind the variable that all ``inputs`` add to ``result``, at the cost of the least of them for each row.
+
+    The number of matches of each row in each input comes from one aggregation by its bound columns; rows without a match
+    anywhere are gone before anything is expanded. Each row is then expanded by the input with the fewest matches, and the
+    other inputs are tested by semi joins on all their columns.
+    """
+    keys = [[c for c in one.columns if c in result.columns] for one in inputs]
+    for k, (one, key) in enumerate(zip(inputs, keys, strict=True)):
+        result = result.join(one.groupBy(*key).agg(F.count(F.lit(1)).alias(f"matches_{k}")), key)
+    counts = [F.col(f"matches_{k}") for k in range(len(inputs))]
+    chosen = F.coalesce(*(F.when(count == F.least(*counts), k) for k, count in enumerate(counts)))
+    parts = []
+    for k, (one, key) in enumerate(zip(inputs, keys, strict=True)):
+        part = result.where(chosen == k).drop(*(f"matches_{j}" for j in range(len(inputs)))).join(one, key)
+        for j, other in enumerate(inputs):
+            if j != k:
+                part = part.join(other, other.columns, "left_semi")
+        parts.append(part)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _conjunction(graph: Graph, patterns: tuple[Pattern, ...], wanted: set[str] | None = None, multiway: bool = True) -> DataFrame:
+    """The inner join of all patterns. Each is an input of its own, joined on every variable that is bound already; inputs
+    that close a cycle by one new variable are taken in one step.
 
     With ``wanted`` the columns that are used afterwards are known and duplicates don't matter: an input that only tests
     whether something exists is then a semi join, which never multiplies rows.
@@ -69,6 +101,11 @@ def _conjunction(graph: Graph, patterns: tuple[Pattern, ...], wanted: set[str] |
     waiting = _inputs(graph, ordered(patterns, graph.statistics(), graph.total()))
     while waiting:
         # A frame of several patterns may have come before what connects it: it waits for that.
+        closing = _closing(result, waiting) if multiway and result is not None else []
+        if closing:
+            result = _multiway(result, [waiting[k] for k in closing])
+            waiting = [one for k, one in enumerate(waiting) if k not in closing]
+            continue
         at = 0 if result is None else next((k for k, one in enumerate(waiting) if set(one.columns) & set(result.columns)), 0)
         one = waiting.pop(at)
         if result is None:
@@ -125,23 +162,25 @@ def condition(test: Comparison) -> Column:
     return reduce(lambda a, b: a | b, map(one, test.values))
 
 
-def compile_query(graph: Graph, query: Query) -> DataFrame:
+def compile_query(graph: Graph, query: Query, multiway: bool = True) -> DataFrame:
     """The answer of ``query``: a bag of rows with one STRING column for each selected variable.
 
     OPTIONAL groups are joined to the required patterns in their order of writing, FILTERs are applied to the result,
     then come projection, DISTINCT or COUNT, and LIMIT. COUNT gives each distinct row with its number of occurrences.
+    ``multiway`` closes cycles by ``_multiway`` instead of binary joins. That is two small joins more where few rows are
+    made anyway, but a hub that a binary join would square stays linear.
     """
     wanted = None
     if query.modifier == "DISTINCT":
         wanted = {_internal(name) for name in query.projection} | {_internal(f.variable) for f in query.filters}
         wanted |= {_internal(name) for group in query.optionals for p in group for name in p.variables()}
-    result = _conjunction(graph, query.patterns, wanted)
+    result = _conjunction(graph, query.patterns, wanted, multiway)
     required = set().union(*(p.variables() for p in query.patterns))
     early = [f for f in query.filters if f.variable in required]
     for test in early:
         result = result.where(condition(test))
     for group in query.optionals:
-        inner = _conjunction(graph, group)
+        inner = _conjunction(graph, group, multiway=multiway)
         shared = [c for c in inner.columns if c in result.columns]
         result = result.join(inner, shared, "left") if shared else result.join(inner, how="left")
     for test in query.filters:

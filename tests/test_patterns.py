@@ -87,6 +87,29 @@ def test_against_brute_force(spark, name, text):
         assert answer(spark, triples, text) == brute(triples, text)
 
 
+@pytest.mark.parametrize("text", [
+    "SELECT ?a ?b ?c WHERE { ?a <p> ?b . ?b <p> ?c . ?c <p> ?a }",
+    "SELECT ?a ?b ?c ?d WHERE { ?a <p> ?b . ?b <p> ?c . ?c <p> ?d . ?d <p> ?a . ?a <p> ?c }",
+    "SELECT DISTINCT ?b WHERE { ?a <p> ?b . ?b <p> ?c . ?c <p> ?a . ?c <p> <a> }",
+    "SELECT ?a ?c WHERE { <a> <p> ?b . ?b <p> ?c . ?c <p> <a> . ?a <p> ?c . ?a <p> ?b }",
+])
+def test_multiway_gives_the_same(spark, text):
+    triples = [(f"<{a}>", "<p>", f"<{b}>") for a, b in ["aa", "ab", "ba", "bc", "ca", "cb", "ad", "da", "db"]]
+    got = Counter(tuple(row) for row in sparql(frame(spark, triples * 2), text, multiway=True).collect())
+    assert got == Counter(tuple(row) for row in sparql(frame(spark, triples), text, multiway=False).collect()) and got
+    if text.count("<p>") <= 4:
+        assert got == brute(triples, text)
+
+
+def test_multiway_spares_the_square_of_a_hub(spark):
+    # All paths lead through the hub; only one of its 3,000 x 3,000 two-step paths is closed.
+    ins = spark.range(3000).selectExpr("concat('<i', id, '>') as s", "'<p>' as p", "'<hub>' as o")
+    outs = spark.range(3000).selectExpr("'<hub>' as s", "'<p>' as p", "concat('<o', id, '>') as o")
+    triples = ins.unionByName(outs).unionByName(spark.createDataFrame([("<o7>", "<p>", "<i9>")], "s string, p string, o string"))
+    found = sparql(triples, "SELECT ?a ?b ?c WHERE { ?a <p> ?b . ?b <p> ?c . ?c <p> ?a }", multiway=True)
+    assert sorted(tuple(r) for r in found.collect()) == [("<hub>", "<o7>", "<i9>"), ("<i9>", "<hub>", "<o7>"), ("<o7>", "<i9>", "<hub>")]
+
+
 def test_known_counts(spark):
     assert sum(answer(spark, GRAPHS["loop"], "SELECT ?a ?b WHERE { ?a <p> ?b . ?b <p> ?a }").values()) == 3
     assert sum(answer(spark, GRAPHS["loop"], "SELECT ?a WHERE { ?a <p> ?b . ?b <p> ?c . ?c <p> ?a }").values()) == 4
