@@ -96,6 +96,24 @@ def resolve(rules: list[tuple[str, str, str]]) -> dict[str, str]:
     return {char: end(char, ()) for char in step}
 
 
+def decomposed(text: str) -> str:
+    """NFD of ``text``. The library sorts the marks of a cluster by insertion, which takes minutes on very long runs of
+    marks; such texts are decomposed character by character and their runs sorted here."""
+    if len(text) <= 64:
+        return unicodedata.normalize("NFD", text)
+    out: list[str] = []
+    marks: list[str] = []
+    for char in text:
+        for part in unicodedata.normalize("NFD", char):
+            if unicodedata.combining(part):
+                marks.append(part)
+            else:
+                out += sorted(marks, key=unicodedata.combining)
+                marks = []
+                out.append(part)
+    return "".join(out + sorted(marks, key=unicodedata.combining))
+
+
 class Transducer:
     """The compiled mapping: a trie over sequences of characters whose nodes carry the output of the sequence so far.
 
@@ -123,8 +141,8 @@ class Transducer:
 
     def _sequence(self, parts: str) -> str:
         """The consistent form of a decomposed sequence, by the rules: map the characters, then compose."""
-        mapped = "".join(self.base.get(char, char) for char in unicodedata.normalize("NFD", parts))
-        return unicodedata.normalize("NFC", unicodedata.normalize("NFD", mapped))
+        mapped = "".join(self.base.get(char, char) for char in decomposed(parts))
+        return unicodedata.normalize("NFC", decomposed(mapped))
 
     def _add(self, sequence: str, out: str) -> None:
         node = self.root

@@ -209,7 +209,10 @@ def passages(text: str) -> Iterator[tuple[str, str]]:
     body = text if start < 0 else text[start + 16 :]
     spans = []
     for part in {head, body}:
+        end = 0
         for found in _HEADED.finditer(part):
+            if found.start() < end:
+                continue  # inside the argument before it
             argument, end = _argument(part, found.end())
             yield "body" if found.group(1) == "caption" else found.group(1), argument
             if part is body:
@@ -311,7 +314,10 @@ def residue_kind(text: Column) -> Column:
 
 
 def find_residue(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, kind) of the records that hold residue; whole texts are read. Other columns of ``df`` are ignored."""
+    """(key, kind) of the records that hold residue; whole texts are read. Null and repeated keys are rows like others.
+
+    Null, empty and blank texts hold none. Other columns of ``df`` are ignored.
+    """
     return df.select(key, residue_kind(F.col(text)).alias("kind")).where("kind is not null")
 
 

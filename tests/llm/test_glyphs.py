@@ -89,6 +89,13 @@ def test_hot_text_gives_its_pairs_only(spark):
     assert same_looking_pairs(hot, "row_id", "o").count() == 2 * 20_000 + 1
 
 
+def test_long_runs_of_marks():
+    text = "e" + "\u0301\u0323" * 50_000 + "x" + "\u0323\u0301" * 40
+    assert transducer()(text[:201]) == unicodedata.normalize("NFC", text[:201])
+    once = transducer()(text)
+    assert once == transducer()(once) and once.count("\u0301") + once.count("\u0323") > 100_000 - 2
+
+
 def test_very_long_text():
     text = "e\u0301\u200b " * 200_000
     assert transducer()(text) == "é " * 200_000

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from brindle.llm.residue import find_residue, residue, without_residue
@@ -82,3 +84,10 @@ def test_no_cases(spark):
 def test_residue_behind_a_very_long_text():
     assert residue(ARTICLE.replace("%s", "The signal is weak. " * 50_000 + "\n\n\\lipsum")) == "filler"
     assert residue(ARTICLE.replace("%s", "{" * 20_000 + "The signal is weak. " * 1000)) is None
+
+
+@pytest.mark.parametrize("part", ["\\title{", "{{", "[insert ", "<", "\\verb|", "\\begin{comment}", "lorem ", "${a", "Home | ", "@A", "%", "x "])
+def test_repeated_openings_take_no_long_time(part):
+    began = time.perf_counter()
+    residue(part * 20_000)
+    assert time.perf_counter() - began < 5
