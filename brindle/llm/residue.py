@@ -1,8 +1,8 @@
 """Template residue, filler, error pages and script notices in place of content (problem 8).
 
 A record is read the way its reader would see it: comments, skipped blocks, code and verbatim text are taken out first, as an
-article may well show or discuss a template there. What remains is cut into passages: title, author list, abstract and
-the paragraphs of the body. Each passage is then judged on its own. It is residue if its text is (nearly) nothing else:
+article may well show or discuss a template there. What remains is cut into passages: title, author list, abstract,
+headings and the paragraphs of the body. Each passage is then judged on its own. It is residue if its text is (nearly) nothing else:
 slots by one grammar for each kind of delimiter, instructions to an author, filler, or an error message or notice. A
 sentence that mentions such text among words of its own has another beginning and a low density, and stays.
 """
@@ -175,10 +175,27 @@ _SKIPPED = re.compile(
 )
 _TAIL = re.compile(r"\\begin\{thebibliography\}.*?(?:\\end\{thebibliography\}|\Z)|\\end\{document\}.*|^@\w+\{[^\n]*,\s*\n(?:[^\n]*=[^\n]*\n)*\}?", re.DOTALL | re.MULTILINE)
 _CUT = re.compile(
-    r"\n[ \t]*\n|\\(?:sub)*(?:section|paragraph)\*?(?:\[[^\]\n]*\])?\{[^\n]*|\\chapter\*?\{[^\n]*|\\(?:begin|end)\{[^{}\n]*\}(?:\[[^\]\n]*\]|\{[^{}\n]*\})*|\\(?:item|maketitle|label\{[^{}\n]*\}|tableofcontents|newpage|clearpage|centering|noindent|bibliographystyle\{[^{}\n]*\}|bibliography\{[^{}\n]*\}|date\{[^{}\n]*\}|input\{[^{}\n]*\}|include\{[^{}\n]*\}|includegraphics\S*|appendix)(?![A-Za-z])"
+    r"\n[ \t]*\n|\\(?:end\{[^{}\n]*\}|item|maketitle|label\{[^{}\n]*\}|tableofcontents|newpage|clearpage|centering|noindent|bibliographystyle\{[^{}\n]*\}|bibliography\{[^{}\n]*\}|date\{[^{}\n]*\}|input\{[^{}\n]*\}|include\{[^{}\n]*\}|includegraphics\S*|appendix)(?![A-Za-z])"
+    r"|\\begin\{(?P<env>[^{}\n]*)\}|\\(?P<heading>(?:sub)*(?:section|paragraph)|chapter)\*?[ \t]*(?:\[(?P<short>[^\[\]\n]*)\][ \t]*)?\{"
 )
 _HEADED = re.compile(r"\\(title|author|caption)\s*(?:\[[^\]\n]*\])?\s*\{")
+_THEOREM = re.compile(r"\\(?:newtheorem|declaretheorem|newmdtheoremenv|newtcolorbox|newenvironment|newlist)\*?(?:\[[^\[\]\n]*\])?\{([^{}\n]+)\}")
+
+# Environments with a bracketed option (any that the text declares itself has one too), those whose braced
+# arguments are layout, and those without any argument.
+_OPTION = re.compile(
+    r"(?:(?:side|wrap|sub)?(?:figure|table)|listing|algorithm(?:ic)?|algorithm2e|tikzpicture|scope|axis|pspicture|picture|frame|block|tcolorbox|mdframed|minipage|tabular[xy]?|array|longtable|tabu|longtabu|tabularray|tblr|"
+    r"threeparttable|tablenotes|adjustbox|multicols|enumerate|itemize|description|asparaenum|inparaenum|thebibliography|subequations|aligned|gathered|alignedat|[pbvBV]?matrix|cases|"
+    r"theorem|lemma|proposition|corollary|definition|remark|example|proof|conjecture|claim|fact|observation|assumption|notation|note|question|problem|exercise|solution|hypothesis|axiom|property|case|"
+    r"thm|lem|lemm|prop|propn|cor|coro|defn?|defi|rem|rmk|exa|exam|exmp|conj|clm|obs|assum|pf|sol)\*?"
+)
+_LAYOUT = re.compile(r"(?:tabular[xy]?|tabulary|array|longtable|supertabular|tabu|longtabu|tblr|minipage|multicols|wrap(?:figure|table)|adjustbox|alignat|alignedat|list|thebibliography|picture|pspicture|subarray)\*?")
+_PLAIN = re.compile(r"(?:abstract|document|quote|quotation|verse|center|flushleft|flushright|keywords?|titlepage|acknowledge?ments?|equation|align|gather|multline|displaymath|math|figure|table|itemize|enumerate|description|proof)\*?")
+_BRACE = re.compile(r"[{}]|\\[\\{}]")
 _WORD = re.compile(r"[^\W\d_]+")
+_LABEL = re.compile(r"\\label\{[^{}\n]*\}")
+_BRACKET = re.compile(r"\[(?:[^\[\]\n]|\[[^\[\]\n]*\])*\]")
+_PROTECTED = re.compile(r"\{[^{}_.\d]*\}")  # braces that keep the case of a heading
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+|\n+")
 
 
@@ -193,6 +210,17 @@ def _argument(text: str, at: int) -> tuple[str, int]:
     return text[at : end if end >= 0 else len(text)], end if end >= 0 else len(text)
 
 
+def _braces(text: str) -> dict[int, int]:
+    """Where each opening brace that is closed is closed, from one pass over all braces that are not escaped."""
+    closed, opened = {}, []
+    for found in _BRACE.finditer(text):
+        if found.group() == "{":
+            opened.append(found.start())
+        elif found.group() == "}" and opened:
+            closed[opened.pop()] = found.start()
+    return closed
+
+
 def visible(text: str) -> str:
     """``text`` as set: without comments, skipped blocks, code and bibliography; line ends as newlines."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
@@ -203,7 +231,11 @@ def visible(text: str) -> str:
 
 
 def passages(text: str) -> Iterator[tuple[str, str]]:
-    """(role, passage) of a text made visible: title, author, and each caption and paragraph of abstract and body."""
+    """(role, passage) of a text made visible: title, author, and each heading, caption and paragraph of abstract and body.
+
+    Only commands are cut out: the argument of a heading is a passage of its own, what follows it on its line belongs to the
+    next one. A bracket behind \\begin is an option where the environment takes one, else text.
+    """
     start = text.find("\\begin{document}")
     head = text if start < 0 else text[:start]
     body = text if start < 0 else text[start + 16 :]
@@ -221,9 +253,44 @@ def passages(text: str) -> Iterator[tuple[str, str]]:
         body = body[:a] + "\n\n" + body[b:]
     if start < 0 and "\\documentclass" in body:
         body = re.sub(r"(?m)^\\(?:documentclass|usepackage|(?:re)?newcommand|DeclareRobustCommand|def|input)\b[^\n]*$", "", body)
-    for piece in _CUT.split(body):
+    declared = set(_THEOREM.findall(text)) if "\\new" in text or "\\declare" in text else set()
+    closed, at, behind = _braces(body), 0, 0
+    while True:
+        found = _CUT.search(body, behind)
+        piece = body[at : found.start() if found else len(body)]
         if piece and not piece.isspace():
             yield "body", piece.strip()
+        if not found:
+            return
+        at = behind = found.end()
+        if found["heading"]:
+            end = closed.get(at - 1)
+            if found["short"]:
+                yield "heading", found["short"]
+            if end is not None:  # else the text behind the open brace is read with the passage
+                yield "heading", _LABEL.sub(" ", body[at:end])
+                at = behind = end + 1
+        elif found["env"] is not None:
+            for argument, at in _arguments(body, found["env"], at, declared, closed):
+                behind = at
+                if argument and "=" not in argument:
+                    yield "heading", argument
+
+
+def _arguments(body: str, env: str, at: int, declared: set[str], closed: dict[int, int]) -> Iterator[tuple[str | None, int]]:
+    """(text, end) of each argument behind the \\begin of ``env``, null for layout; what is no argument is part of the passage."""
+    layout = _LAYOUT.fullmatch(env)
+    option = layout or env in declared or _OPTION.fullmatch(env)
+    braced = layout or not _PLAIN.fullmatch(env)
+    while True:
+        if option and (found := _BRACKET.match(body, at)):
+            at = found.end()
+            yield (None if layout else found.group()[1:-1]), at
+        elif braced and at in closed and (layout or body[at + 1] != "{"):
+            begin, at = at + 1, closed[at] + 1
+            yield (None if layout else body[begin : at - 1]), at
+        else:
+            return
 
 
 def _full(pattern: re.Pattern, text: str) -> bool:
@@ -236,7 +303,7 @@ def _slots(passage: str, role: str) -> bool:
     held = list(SLOT.finditer(passage))
     if not held:
         return False
-    if role != "body":
+    if role in ("title", "author"):
         return True
     inside = sum(len(m.group()) for m in held)
     rest = _WORD.findall(SLOT.sub(" ", passage))
@@ -260,6 +327,8 @@ def _filler(passage: str) -> bool:
 def judge(passage: str, role: str = "body") -> str | None:
     """The kind of residue that a passage is (placeholder, filler, error, notice), or null for content."""
     text = passage.strip()
+    if role == "heading" and _PROTECTED.fullmatch(text):
+        text = text[1:-1]
     if not text:
         return None
     if role == "title" and (_full(STOCK_TITLE, text) or _full(NO_VALUE, text)):
@@ -283,6 +352,8 @@ def judge(passage: str, role: str = "body") -> str | None:
         meant = sum(len(s) for s in sentences if len(s) <= 240 and _full(INSTRUCTION, s))
         if meant >= 0.6 * sum(map(len, sentences)):
             return "placeholder"
+    if role == "heading" and re.fullmatch(STATUS, text, re.IGNORECASE):
+        return None  # the name of a topic
     if len(text) <= 4000 and not re.search(r"\\(?:cite|ref|eqref)", text):
         for line in told[:3]:
             if ERROR.match(line):

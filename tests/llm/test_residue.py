@@ -91,3 +91,33 @@ def test_repeated_openings_take_no_long_time(part):
     began = time.perf_counter()
     residue(part * 20_000)
     assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize(
+    "passage",
+    [
+        r"\paragraph{Data.} Lorem ipsum dolor sit amet, consectetur adipiscing elit.", r"\section{Model} \lipsum[2]", r"\section{Model} [Insert text here]", r"\section{{{ section.title }}}", r"\subsection*[Short]{A $x_{1}$} [Insert text here]",
+        r"\chapter*{One} Write this section.", r"\section{Insert section title here\label{sec:2}}", r"\section{One} The signal is weak. \section{Two} The field is strong. \section{Three} Lorem ipsum dolor sit amet. \section{Four} It ends.",
+        r"\begin{abstract}[Insert abstract here]\end{abstract}", r"\begin{abstract}{{ abstract }}\end{abstract}", r"\begin{quote}[Insert text here]" + "\nThe signal is weak.\n" + r"\end{quote}", r"\begin{theorem}[{{ theorem.name }}]" + "\nThe field is strong.\n" + r"\end{theorem}",
+    ],
+)
+def test_residue_beside_commands(passage):
+    assert residue(ARTICLE.replace("%s", passage)) and residue(passage)
+
+
+@pytest.mark.parametrize(
+    "passage",
+    [
+        r"\section{Access denied} The notice was seen 31 times.", r"\section{{model}} Fine.", r"\paragraph{Added in proof.} A note of the author.", r"\section{A {\bf b} $c_{n}$} \label{x} Fine.", "\\begin{theorem}[Type]\nFine.\n\\end{theorem}",
+        "\\begin{tabular}{l@{ }c}\n1 & 2\n\\end{tabular}", "\\begin{axis}[xlabel = {time}, ylabel = {length}]\n1\n\\end{axis}", "\\newtheorem{satz}{Satz}\n\n\\begin{satz}[Type]\nFine.\n\\end{satz}", r"\section{Open brace", "\\begin{figure}[here]\nFine.\n\\end{figure}",
+    ],
+)
+def test_commands_beside_content(passage):
+    assert residue(ARTICLE.replace("%s", passage)) is None
+
+
+@pytest.mark.parametrize("part", ["\\section{", "\\begin{x}{", "\\begin{theorem}[", "\\paragraph[", "\\section{a}"])
+def test_repeated_commands_take_no_long_time(part):
+    began = time.perf_counter()
+    residue(part * 20_000)
+    assert time.perf_counter() - began < 5
