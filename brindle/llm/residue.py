@@ -10,12 +10,16 @@ sentence that mentions such text among words of its own has another beginning an
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from operator import itemgetter
+from typing import TypeVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 # The vocabulary of the common Latin filler text.
 LOREM = frozenset(
     """ad adipiscing adipisicing aliqua aliquip aliquam amet anim ante aute augue bibendum cillum commodo condimentum consectetur consectetuer
@@ -76,7 +80,7 @@ _OPENING = re.compile(r"\{\{|\{%|[$#]\{|<[%?#@]|\[\[|@[A-Z]|%[A-Z]|\$[A-Z]{2}|__
 _HINT = rf"\b(?:insert|add(?:ed)?|fill|to-?do|tbd|tba|fixme|your|here|describe|placeholder|to be|about here|goes here|write|type|enter|replace|lorem|blank|dummy|texte?|texto|insérer|inserer|compléter|completer|rédiger|ajouter|einfügen|einfuegen|ergänzen|eingeben|folgt|hier|insertar|inserte|añadir|agregar|completar|rellenar|escriba|aquí|{PART[3:-1]})\b"
 BRACKETED = re.compile(rf"^(?:\[(?=[^\]\n]*{_HINT})[^\[\]\n|]{{3,160}}\]|<(?![/!?]|(?:html|head|body|meta|div|p|br|hr|span|script|noscript|center|h\d)\b)(?=[^>\n]*{_HINT})[^<>\n|=\"]{{3,160}}>|\*{{2,}}(?=[^*\n]*{_HINT})[^*\n]{{3,160}}\*{{2,}}|\({{2}}[^()\n]{{3,160}}\){{2}})[.:]?$", re.IGNORECASE)
 
-#: Sentences that instruct an author or announce text to come. They make up the whole of a short passage.
+#: Sentences that instruct an author or announce text to come. They make up most of a passage, whatever its length.
 INSTRUCTION = _any(
     rf"(?:please )?(?:insert|type|write|enter|put|add|paste|place|provide|replace|fill in|describe)(?: in)?(?: (?:your|the|this|an?|some))?(?: (?:own|short|brief|paper'?s?|article'?s?))* {PART}\b[^.]{{0,50}}",
     rf"(?:click|tap)(?: here)? to (?:add|enter|edit|insert)\b[^.]{{0,40}}",
@@ -196,6 +200,10 @@ _WORD = re.compile(r"[^\W\d_]+")
 _LABEL = re.compile(r"\\label\{[^{}\n]*\}")
 _BRACKET = re.compile(r"\[(?:[^\[\]\n]|\[[^\[\]\n]*\])*\]")
 _PROTECTED = re.compile(r"\{[^{}_.\d]*\}")  # braces that keep the case of a heading
+_TAG = re.compile(r"<[^<>]*>")
+#: A line of at most four words without a stop, as an entry of a navigation; no row of a table and no formula.
+_LABELLED = re.compile(r"(?:[^\s&$\\]{1,30}(?: +|$)){0,4}(?<![.!?:;,])")
+_FRAME = re.compile(r"File \".+\", line \d+|at [\w.$<>/]+\(.*\)|#\d+ .*\(|\.\.\. \d+ more|Caused by: |(?:During handling of|The above exception)\b|[~^]+$|\[Previous line repeated")
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+|\n+")
 
 
@@ -347,20 +355,92 @@ def judge(passage: str, role: str = "body") -> str | None:
         return None
     if all(_full(NO_VALUE, line) for line in told) and (role != "body" or not re.fullmatch(r"(?i)tba|xxx+|\?+", told[0])):
         return "placeholder"
-    if len(text) <= 2000:
-        sentences = [s for line in told for s in _SENTENCE.split(line) if s.strip()]
-        meant = sum(len(s) for s in sentences if len(s) <= 240 and _full(INSTRUCTION, s))
-        if meant >= 0.6 * sum(map(len, sentences)):
-            return "placeholder"
+    sentences = [s for line in told for s in _SENTENCE.split(line) if s.strip()]
+    whole = sum(map(len, sentences))
+    if _share(((len(s), s) for s in sentences), 0.6 * whole, whole, _instructed):
+        return "placeholder"
     if role == "heading" and re.fullmatch(STATUS, text, re.IGNORECASE):
         return None  # the name of a topic
-    if len(text) <= 4000 and not re.search(r"\\(?:cite|ref|eqref)", text):
-        for line in told[:3]:
-            if ERROR.match(line):
-                return "error"
-            if NOTICE.match(line):
-                return "notice"
-    return None
+    if re.search(r"\\(?:cite|ref|eqref)", text):
+        return None
+    return _message(text)
+
+
+def _share(weighed: Iterable[tuple[int, T]], least: float, whole: int, share: Callable[[T], float]) -> bool:
+    """Whether parts with their ``share`` hold ``least`` of ``whole``; the heaviest go first, and it ends when that is settled."""
+    held, left = 0.0, float(whole)
+    if not whole:
+        return False
+    for weight, part in sorted(weighed, key=itemgetter(0), reverse=True):
+        if held >= least or held + left < least:
+            break
+        held, left = held + weight * share(part), left - weight
+    return held >= least
+
+
+def _instructed(sentence: str) -> float:
+    """1 for an instruction; for several in a row without stops between them the share that they take."""
+    if _full(INSTRUCTION, sentence):
+        return 1.0
+    held, count, found = 0, 0, INSTRUCTION.match(sentence)
+    while found:
+        held, count = held + len(found.group()), count + 1
+        found = INSTRUCTION.search(sentence, max(found.end(), found.start() + 1))
+    return held / len(sentence) if count > 1 or held >= 0.85 * len(sentence) else 0.0
+
+
+def _kind(line: str) -> str | None:
+    return "error" if ERROR.match(line) else "notice" if NOTICE.match(line) else None
+
+
+def _message(text: str) -> str | None:
+    """error or notice, if a message leads ``text`` or takes half of what it tells; its length doesn't matter.
+
+    A message leads if it is among the first three lines that tell something: tags, styles, scripts, page chrome and the
+    short labels of a navigation don't. Lines of a stack trace and code below them belong to their message.
+    """
+    lines, parts, frame, told, leading = _shown(text), [], False, 0, True
+    for raw in lines:
+        line = raw.strip()
+        if not line or CHROME.fullmatch(line):
+            continue
+        if leading and (kind := _kind(line)):
+            return kind
+        words = _TAG.sub(" ", line) if "<" in line else line
+        label = _LABELLED.fullmatch(words.strip()) is not None
+        if not label:
+            told += 1
+            leading = told < 3
+        belongs = bool(_FRAME.match(line)) or (frame and raw[:1].isspace())
+        frame = belongs
+        parts.append((len(words.strip()), (line, belongs)))
+    if leading:
+        return None  # all lines were looked at
+    kinds: list[str] = []
+
+    def share(part: tuple[str, bool]) -> float:
+        kind = _kind(part[0])
+        if kind:
+            kinds.append(kind)
+        return 1.0 if kind or part[1] else 0.0
+
+    whole = sum(weight for weight, _ in parts)
+    if not _share(parts, 0.5 * whole, whole, share):
+        return None
+    return kinds[0] if kinds else next(filter(None, (_kind(line) for _, (line, _) in parts)), None)
+
+
+def _shown(text: str) -> list[str]:
+    """The lines of ``text`` without the styles, scripts and comments of a page, as far as these are closed."""
+    for opening, closing in (("<style", "</style>"), ("<script", "</script>"), ("<!--", "-->")):
+        if opening not in text.lower():
+            continue
+        lower, out, at = text.lower(), [], 0
+        while (begin := lower.find(opening, at)) >= 0 and (end := lower.find(closing, begin)) >= 0:
+            out.append(text[at:begin])
+            at = end + len(closing)
+        text = "".join(out) + text[at:]
+    return text.split("\n")
 
 
 def residue(text: str | None) -> str | None:

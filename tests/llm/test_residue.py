@@ -116,8 +116,39 @@ def test_commands_beside_content(passage):
     assert residue(ARTICLE.replace("%s", passage)) is None
 
 
+FRAMES = "Traceback (most recent call last):\n" + '  File "/srv/render/article.py", line 31, in render\n    return self.parts[name].render(context)\n' * 60 + "ValueError: y"
+META = '<meta charset="utf-8">\n<link rel="stylesheet" href="/a.css">\n'
+LONG = [
+    "Dies ist ein Blindtext. Er dient nur dazu, den Platz der Zusammenfassung zu fuellen. " * 30, "Insert your abstract here. " * 200, "Insert your abstract here " * 3, "Insert your abstract here " * 30, FRAMES, FRAMES.partition("\n")[2],
+    "<html>\n<head>\n" + META * 4 + "<title>502 Bad Gateway</title>\n</head>\n<body>\n" + "<p>The upstream server gave no answer that could be read.</p>\n" * 90 + "</body>\n</html>",
+    META * 4 + "<noscript>You need to enable JavaScript to run this app.</noscript>", "Journals\nSubmit a paper\nArchive\nFor authors\nNews\nNot Found\nThe file x was not found on this server.",
+    "<html>\n<style>\n" + "p { color: red; margin: 2em; } /* a rule of the page that is not shown to the reader */\n" * 60 + "</style>\n<body>\nYour session has expired. Log in again.\n</body>",
+    "We thank all readers of this page.\nThe journal began in 1999.\nIt has four issues a year.\nAll of them are free to read.\n" + "An error occurred while processing the article; it can't be shown to you at this time.\n" * 80,
+]
+
+
+@pytest.mark.parametrize("text", LONG)
+def test_length_does_not_matter(text):
+    assert residue(text) and residue(ARTICLE.replace("%s", text))
+
+
+def test_a_message_in_a_long_paragraph():
+    told = "The runs of the second week were repeated, and the samples of both weeks agree with each other.\n"
+    message = "An error occurred while processing the article; it can't be shown to you at this time.\n"
+    for n in (5, 50, 500):
+        assert residue(told * n + message + told * n) is None and residue(told * n + "Insert your abstract here. " + told * n) is None
+        assert residue(told * n + message * 2 * n) == "error"
+
+
 @pytest.mark.parametrize("part", ["\\section{", "\\begin{x}{", "\\begin{theorem}[", "\\paragraph[", "\\section{a}"])
 def test_repeated_commands_take_no_long_time(part):
     began = time.perf_counter()
     residue(part * 20_000)
     assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("part", ["Insert your abstract here ", "Insert your abstract here. ", "<style>", "<!--\n", "<script>\n", "Home\n", "The field. ", "at a(", "a\nWhat is told by this line is not an error\n"])
+def test_long_passages_take_no_long_time(part):
+    began = time.perf_counter()
+    residue(part * 20_000)
+    assert time.perf_counter() - began < 5
