@@ -10,6 +10,7 @@ sentence that mentions such text among words of its own has another beginning an
 from __future__ import annotations
 
 import re
+from bisect import bisect_left as bisect
 from collections.abc import Callable, Iterable, Iterator
 from operator import itemgetter
 from typing import TypeVar
@@ -178,11 +179,15 @@ _SKIPPED = re.compile(
     re.DOTALL,
 )
 _TAIL = re.compile(r"\\begin\{thebibliography\}.*?(?:\\end\{thebibliography\}|\Z)|\\end\{document\}.*|^@\w+\{[^\n]*,\s*\n(?:[^\n]*=[^\n]*\n)*\}?", re.DOTALL | re.MULTILINE)
+_HEADED = re.compile(r"\\(?P<headed>title|author|caption)\s*(?:\[[^\[\]\n]*\])?\s*\{")
+_ROLES = {"title": "title", "author": "author", "caption": "body"}
+#: What stands in no argument; one that seems to hold it misses its brace.
+_OUTSIDE = re.compile(r"\\(?:maketitle|(?:sub)*section|begin\{abstract\}|bibliography)(?![A-Za-z])")
 _CUT = re.compile(
     r"\n[ \t]*\n|\\(?:end\{[^{}\n]*\}|item|maketitle|label\{[^{}\n]*\}|tableofcontents|newpage|clearpage|centering|noindent|bibliographystyle\{[^{}\n]*\}|bibliography\{[^{}\n]*\}|date\{[^{}\n]*\}|input\{[^{}\n]*\}|include\{[^{}\n]*\}|includegraphics\S*|appendix)(?![A-Za-z])"
-    r"|\\begin\{(?P<env>[^{}\n]*)\}|\\(?P<heading>(?:sub)*(?:section|paragraph)|chapter)\*?[ \t]*(?:\[(?P<short>[^\[\]\n]*)\][ \t]*)?\{"
+    r"|\\begin\{(?P<env>[^{}\n]*)\}|\\(?P<heading>(?:sub)*(?:section|paragraph)|chapter)\*?[ \t]*(?:\[(?P<short>[^\[\]\n]*)\][ \t]*)?\{|"
+    + _HEADED.pattern
 )
-_HEADED = re.compile(r"\\(title|author|caption)\s*(?:\[[^\]\n]*\])?\s*\{")
 _THEOREM = re.compile(r"\\(?:newtheorem|declaretheorem|newmdtheoremenv|newtcolorbox|newenvironment|newlist)\*?(?:\[[^\[\]\n]*\])?\{([^{}\n]+)\}")
 
 # Environments with a bracketed option (any that the text declares itself has one too), those whose braced
@@ -207,17 +212,6 @@ _FRAME = re.compile(r"File \".+\", line \d+|at [\w.$<>/]+\(.*\)|#\d+ .*\(|\.\.\.
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+|\n+")
 
 
-def _argument(text: str, at: int) -> tuple[str, int]:
-    """The text of a braced argument that begins at ``at``, and its end; a missing brace ends it with the line."""
-    depth = 1
-    for k in range(at, min(len(text), at + 4000)):
-        depth += (text[k] == "{") - (text[k] == "}")
-        if depth == 0:
-            return text[at:k], k + 1
-    end = text.find("\n", at)
-    return text[at : end if end >= 0 else len(text)], end if end >= 0 else len(text)
-
-
 def _braces(text: str) -> dict[int, int]:
     """Where each opening brace that is closed is closed, from one pass over all braces that are not escaped."""
     closed, opened = {}, []
@@ -229,6 +223,10 @@ def _braces(text: str) -> dict[int, int]:
     return closed
 
 
+def _outside(text: str) -> list[int]:
+    return [found.start() for found in _OUTSIDE.finditer(text)]
+
+
 def visible(text: str) -> str:
     """``text`` as set: without comments, skipped blocks, code and bibliography; line ends as newlines."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
@@ -247,22 +245,16 @@ def passages(text: str) -> Iterator[tuple[str, str]]:
     start = text.find("\\begin{document}")
     head = text if start < 0 else text[:start]
     body = text if start < 0 else text[start + 16 :]
-    spans = []
-    for part in {head, body}:
-        end = 0
-        for found in _HEADED.finditer(part):
-            if found.start() < end:
-                continue  # inside the argument before it
-            argument, end = _argument(part, found.end())
-            yield "body" if found.group(1) == "caption" else found.group(1), argument
-            if part is body:
-                spans.append((found.start(), end))
-    for a, b in reversed(spans):
-        body = body[:a] + "\n\n" + body[b:]
-    if start < 0 and "\\documentclass" in body:
-        body = re.sub(r"(?m)^\\(?:documentclass|usepackage|(?:re)?newcommand|DeclareRobustCommand|def|input)\b[^\n]*$", "", body)
+    if start < 0:
+        if "\\documentclass" in body:
+            body = re.sub(r"(?m)^\\(?:documentclass|usepackage|(?:re)?newcommand|DeclareRobustCommand|def|input)\b[^\n]*$", "", body)
+    else:
+        closed, outside, behind = _braces(head), _outside(head), 0
+        while found := _HEADED.search(head, behind):
+            argument, behind = _argument(head, found.end(), closed, outside)
+            yield _ROLES[found["headed"]], argument
     declared = set(_THEOREM.findall(text)) if "\\new" in text or "\\declare" in text else set()
-    closed, at, behind = _braces(body), 0, 0
+    closed, outside, at, behind = _braces(body), _outside(body), 0, 0
     while True:
         found = _CUT.search(body, behind)
         piece = body[at : found.start() if found else len(body)]
@@ -271,7 +263,11 @@ def passages(text: str) -> Iterator[tuple[str, str]]:
         if not found:
             return
         at = behind = found.end()
-        if found["heading"]:
+        if found["headed"]:
+            argument, at = _argument(body, at, closed, outside)
+            behind = at
+            yield _ROLES[found["headed"]], argument
+        elif found["heading"]:
             end = closed.get(at - 1)
             if found["short"]:
                 yield "heading", found["short"]
@@ -285,6 +281,15 @@ def passages(text: str) -> Iterator[tuple[str, str]]:
                     yield "heading", argument
 
 
+def _argument(text: str, at: int, closed: dict[int, int], outside: list[int]) -> tuple[str, int]:
+    """The text of a braced argument that begins at ``at``, and its end; a missing brace ends it with the line."""
+    end = closed.get(at - 1)
+    if end is not None and bisect(outside, at) == bisect(outside, end):
+        return text[at:end], end + 1
+    end = text.find("\n", at)
+    return text[at : end if end >= 0 else len(text)], end if end >= 0 else len(text)
+
+
 def _arguments(body: str, env: str, at: int, declared: set[str], closed: dict[int, int]) -> Iterator[tuple[str | None, int]]:
     """(text, end) of each argument behind the \\begin of ``env``, null for layout; what is no argument is part of the passage."""
     layout = _LAYOUT.fullmatch(env)

@@ -152,3 +152,20 @@ def test_long_passages_take_no_long_time(part):
     began = time.perf_counter()
     residue(part * 20_000)
     assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("last", [r"Second Author", "{author_90}"])
+def test_long_lists_of_authors(last):
+    names = "A. Name\n" + "\\and B. Other \\thanks{The {\\it same} place \\}.}\n" * 400
+    for place in (names + last, names + last + "\n" + names):
+        assert residue(ARTICLE.replace(r"A. Name \and B. Other", place).replace("%s", "Fine.")) == "placeholder"
+        assert residue("\\begin{document}\n\\author{" + place + "}\n\\maketitle\nFine.\n\\end{document}") == "placeholder"
+    assert residue(ARTICLE.replace(r"A. Name \and B. Other", names).replace("%s", "Fine.")) is None
+    assert residue("\\begin{document}\n\\author{A. Name\n\\maketitle\n\\section{One}\nThe first author {na} wrote it.}\n") is None
+
+
+@pytest.mark.parametrize("text", ["\\title{" * 20_000 + "\\maketitle" + "}" * 20_000, "\\title{\n" * 20_000 + "\\maketitle" + "}" * 20_000, "\\author{\\section" * 20_000 + "}" * 20_000])
+def test_nested_arguments_take_no_long_time(text):
+    began = time.perf_counter()
+    residue(text)
+    assert time.perf_counter() - began < 5
