@@ -179,8 +179,10 @@ _SKIPPED = re.compile(
     re.DOTALL,
 )
 _TAIL = re.compile(r"\\begin\{thebibliography\}.*?(?:\\end\{thebibliography\}|\Z)|\\end\{document\}.*|^@\w+\{[^\n]*,\s*\n(?:[^\n]*=[^\n]*\n)*\}?", re.DOTALL | re.MULTILINE)
-_HEADED = re.compile(r"\\(?P<headed>title|author|caption)\s*(?:\[[^\[\]\n]*\])?\s*\{")
-_ROLES = {"title": "title", "author": "author", "caption": "body"}
+_HEADED = re.compile(r"(?<!\\def)\\(?P<headed>title|author|caption|abstract|keywords?|affiliations?|affil|address|institut(?:e|ion))\s*(?:\[[^\[\]\n]*\])?\s*\{")
+_ROLES = {"title": "title", "caption": "body", "abstract": "body", "keyword": "body", "keywords": "body"}  # all others name authors
+#: What a head may hold of the text itself.
+_OF_HEAD = re.compile(_HEADED.pattern + r"|\\begin\{(?P<part>abstract|keywords?|IEEEkeywords|affiliations?)\}")
 #: What stands in no argument; one that seems to hold it misses its brace.
 _OUTSIDE = re.compile(r"\\(?:maketitle|(?:sub)*section|begin\{abstract\}|bibliography)(?![A-Za-z])")
 _CUT = re.compile(
@@ -205,6 +207,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _LABEL = re.compile(r"\\label\{[^{}\n]*\}")
 _BRACKET = re.compile(r"\[(?:[^\[\]\n]|\[[^\[\]\n]*\])*\]")
 _PROTECTED = re.compile(r"\{[^{}_.\d]*\}")  # braces that keep the case of a heading
+_VALUE = re.compile(r"=\s+\{")
 _TAG = re.compile(r"<[^<>]*>")
 #: A line of at most four words without a stop, as an entry of a navigation; no row of a table and no formula.
 _LABELLED = re.compile(r"(?:[^\s&$\\]{1,30}(?: +|$)){0,4}(?<![.!?:;,])")
@@ -237,7 +240,8 @@ def visible(text: str) -> str:
 
 
 def passages(text: str) -> Iterator[tuple[str, str]]:
-    """(role, passage) of a text made visible: title, author, and each heading, caption and paragraph of abstract and body.
+    """(role, passage) of a text made visible: title, author, affiliation, keywords, and each heading, caption and paragraph of
+    abstract and body. All but headings and paragraphs of the body may stand in the head, whose macros aren't read.
 
     Only commands are cut out: the argument of a heading is a passage of its own, what follows it on its line belongs to the
     next one. A bracket behind \\begin is an option where the environment takes one, else text.
@@ -250,9 +254,13 @@ def passages(text: str) -> Iterator[tuple[str, str]]:
             body = re.sub(r"(?m)^\\(?:documentclass|usepackage|(?:re)?newcommand|DeclareRobustCommand|def|input)\b[^\n]*$", "", body)
     else:
         closed, outside, behind = _braces(head), _outside(head), 0
-        while found := _HEADED.search(head, behind):
-            argument, behind = _argument(head, found.end(), closed, outside)
-            yield _ROLES[found["headed"]], argument
+        while found := _OF_HEAD.search(head, behind):
+            if found["part"]:
+                end = head.find(f"\\end{{{found['part']}}}", found.end())
+                argument, behind = (head[found.end() : end], end) if end >= 0 else (head[found.end() :], len(head))
+            else:
+                argument, behind = _argument(head, found.end(), closed, outside)
+            yield from _headed(found["part"] or found["headed"], argument)
     declared = set(_THEOREM.findall(text)) if "\\new" in text or "\\declare" in text else set()
     closed, outside, at, behind = _braces(body), _outside(body), 0, 0
     while True:
@@ -266,7 +274,7 @@ def passages(text: str) -> Iterator[tuple[str, str]]:
         if found["headed"]:
             argument, at = _argument(body, at, closed, outside)
             behind = at
-            yield _ROLES[found["headed"]], argument
+            yield from _headed(found["headed"], argument)
         elif found["heading"]:
             end = closed.get(at - 1)
             if found["short"]:
@@ -281,6 +289,19 @@ def passages(text: str) -> Iterator[tuple[str, str]]:
                     yield "heading", argument
 
 
+def _headed(command: str, argument: str) -> Iterator[tuple[str, str]]:
+    """The passages of an argument or environment; affiliations may be written as keys with braced values."""
+    role = _ROLES.get(command.lower().removeprefix("ieee"), "author")
+    if command in ("title", "author", "caption"):
+        yield role, argument
+        return
+    at = 0
+    for found in _CUT.finditer(argument):
+        yield role, _VALUE.sub("={", argument[at : found.start()])
+        at = found.end()
+    yield role, _VALUE.sub("={", argument[at:])
+
+
 def _argument(text: str, at: int, closed: dict[int, int], outside: list[int]) -> tuple[str, int]:
     """The text of a braced argument that begins at ``at``, and its end; a missing brace ends it with the line."""
     end = closed.get(at - 1)

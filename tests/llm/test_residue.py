@@ -169,3 +169,33 @@ def test_nested_arguments_take_no_long_time(text):
     began = time.perf_counter()
     residue(text)
     assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        r"\abstract{[Insert abstract here]}", "\\begin{abstract}Lorem ipsum dolor sit amet, consectetur adipiscing.\\end{abstract}", "\\begin{abstract}[Insert abstract here]\\end{abstract}", r"\affiliation{Institution Name}", r"\affil[1]{{{ affiliation }}}",
+        r"\keywords{Insert keywords here}", "\\begin{keywords}\n{{ keywords }}\n\\end{keywords}", "\\abstract{The signal is weak.\n\n\\noindent [Insert text here]\n\nThe field is strong.}", "\\begin{abstract}\nThe signal is weak.\n\n\\lipsum[1]\n",
+    ],
+)
+def test_residue_in_the_head(part):
+    assert residue(ARTICLE.replace("\\begin{document}", part + "\n\\begin{document}").replace("%s", "Fine."))
+    assert residue("\\begin{document}\n" + part + "\n\\maketitle\nFine.\n\\end{document}")
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        r"\abstract{The signal is weak.}", "\\begin{abstract}\nThe signal is weak.\n\\end{abstract}", r"\affiliation[a]{organization = {Institute of Fields}, city = {dale}, country={nowhere}}", r"\keywords{signals, placeholder symbols, fields}",
+        r"\newcommand{\affiliation}[1]{{\it #1}}", r"\renewcommand{\abstractname}{Text}", r"\def\abstract#1{{\bf #1}}", r"\newcommand{\todo}[1]{[insert: #1 here]}", r"\newenvironment{note}{\begin{abstract}}{\end{abstract}}",
+    ],
+)
+def test_content_in_the_head(part):
+    assert residue(ARTICLE.replace("\\begin{document}", part + "\n\\begin{document}").replace("%s", "Fine.")) is None
+
+
+@pytest.mark.parametrize("part", ["\\abstract{", "\\begin{abstract}", "\\affil[", "\\keywords{a}", "\\affiliation{x = "])
+def test_repeated_heads_take_no_long_time(part):
+    began = time.perf_counter()
+    residue(part * 20_000 + "\\begin{document}" + part * 20_000 + "}" * 20_000)
+    assert time.perf_counter() - began < 5
