@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 _LITERAL = r'(?s)^"(.*)"(?:@[^"]*|\^\^[^"]*)?$'
 _INTEGER = r"^([+-]?)0*([0-9]+)$"
 _DECIMAL = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)$"
+_USUAL = r"^[+-]?[0-9]{0,30}(?:\.[0-9]{0,6})?$"
+_PARTS = r"^([+-]?)0*([0-9]*)(?:\.([0-9]*))?$"
 _DATE = r"^(-?(?:[1-9][0-9]{4,}|[0-9]{4}))-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])$"
 
 #: The datatypes that ``canonical_value`` knows, with the Spark type of a typed column.
@@ -31,9 +33,23 @@ def _integer(v: Column) -> Column:
 
 
 def _decimal(v: Column) -> Column:
-    """Two fraction digits; values with more than two significant ones are rounded half up."""
-    number = F.when(v.rlike(_DECIMAL), v.try_cast("decimal(38,6)").try_cast("decimal(38,2)"))
-    return F.when(number == 0, "0.00").otherwise(number.cast("string"))
+    """Two fraction digits; values with more than two significant ones are rounded half up. Numbers of usual length are
+    cast, others are written from their digits, so that none is too long."""
+    number = v.try_cast("decimal(38,6)").try_cast("decimal(38,2)")
+    usual = F.when(number == 0, "0.00").otherwise(number.cast("string"))
+    return F.when(v.rlike(_DECIMAL), F.when(v.rlike(_USUAL), usual).otherwise(_long_decimal(v)))
+
+
+def _long_decimal(v: Column) -> Column:
+    sign, whole, part = (F.regexp_extract(v, _PARTS, k) for k in (1, 2, 3))
+    cents = F.concat(whole, F.rpad(F.substring(part, 1, 2), 2, "0"))
+    kept = F.rtrim(cents, F.lit("9"))  # a carry turns the nines behind it to zeros
+    carried = F.concat(F.left(kept, F.length(kept) - 1), F.translate(F.right(kept, F.lit(1)), "012345678", "123456789"))
+    zeros = F.repeat(F.lit("0"), F.length(cents) - F.length(kept))
+    rounded = F.when(F.substring(part, 3, 1) >= "5", F.concat(F.when(kept == "", "1").otherwise(carried), zeros)).otherwise(cents)
+    units = F.left(rounded, F.length(rounded) - 2)
+    minus = F.when((sign == "-") & (rounded != "00"), "-").otherwise("")
+    return F.concat(minus, F.when(units == "", "0").otherwise(units), F.lit("."), F.right(rounded, F.lit(2)))
 
 
 def _date(v: Column) -> Column:

@@ -91,8 +91,8 @@ def widen(triples: DataFrame, attributes: list[Attribute], order: list[str]) ->
     """(s, one typed column for each attribute): one row for each entity with at least one value.
 
     Of several values the one of the row that is last by ``order`` counts, a null there being first; of rows equal in it
-    the greatest canonical text. A missing or unfit value is null. An integer beyond 64 bits is null in its column, and
-    kept as text by ``cells``. Nulls in s, p and o, other predicates and other columns are ignored.
+    the greatest canonical text. A missing or unfit value is null. An integer beyond 64 bits and a decimal beyond
+    36 digits before the point are null in their columns, and kept as text by ``cells``. Nulls in s, p and o, other predicates and other columns are ignored.
     """
     _single(triples, "s", "p", "o", *order)
     cells = _cells(triples, attributes, *order)

@@ -78,3 +78,16 @@ def test_attribute_lists(spark):
     found = discover_attributes(triples(spark, ROWS), 0.8)
     assert {(a.predicate, a.datatype) for a in found} == {("<i>", "integer"), ("<s>", "string"), ("<d>", "decimal"), ("<t>", "date"), ("<b>", "boolean"), ("<other>", "boolean")}
     assert {a.predicate: a.datatype for a in discover_attributes(triples(spark, ROWS))}["<i>"] == "string"
+
+
+def test_decimals_of_any_length(spark):
+    big = "9" * 60
+    want = {
+        f'"{big}"': f"{big}.00", f'"-00{big}.994"': f"-{big}.99", f'"{big}.995"': f"1{'0' * 60}.00", f'"+{big}8.1"@en': f"{big}8.10", "0" * 50 + "12.5": "12.50", "-." + "0" * 40 + "1": "0.00", ".00499999999": "0.00", "-0.00500000000": "-0.01",
+        "1.23499999999": "1.23", "-1.99500000001": "-2.00", "0.99999999": "1.00", "1.2950000000": "1.30", "9" * 31 + ".005": "9" * 31 + ".01", "1" + "0" * 40 + ".": "1" + "0" * 40 + ".00", "9" * 40 + "e1": None, "9" * 40 + ".1.2": None,
+    }
+    rows = spark.createDataFrame([(o,) for o in want], "o string").select("o", canonical_value(F.col("o"), F.lit("decimal"))).collect()
+    assert {row[0]: row[1] for row in rows} == want
+    df = triples(spark, [("<a>", "<d>", f'"{big}"', 1), ("<b>", "<d>", '"1.5"', 1)])
+    assert sorted(tuple(row) for row in cells(df, ATTRIBUTES).collect()) == [("<a>", "<d>", f"{big}.00"), ("<b>", "<d>", "1.50")]
+    assert {row.s: row.mass for row in widen(df, ATTRIBUTES, ["at"]).collect()} == {"<a>": None, "<b>": Decimal("1.50")}
