@@ -9,6 +9,7 @@ Python; of other text only clusters that may change are looked at, and each dist
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,6 +39,11 @@ INVISIBLE = [
 JOINERS = "\u200c\u200d"
 JOINING = [(0x600, 0x8FF), (0x900, 0xDFF), (0x1000, 0x109F), (0x1780, 0x18AF), (0x2190, 0x2BFF), (0x1F000, 0x1FAFF)]
 
+# Those of these scripts in which it shows whether a joiner stands before or behind a sign.
+ORDERED = [(0x900, 0xDFF), (0x1000, 0x109F), (0x1780, 0x17FF)]
+JOINED = frozenset(JOINERS)
+_JOINER = re.compile(f"([{JOINERS}])")
+
 # Blocks whose compatibility characters are drawn like their plain letters: number forms of Roman digits,
 # ligatures, digraphs, and the micro sign.
 SAME_SHAPE = [(0xB5, 0xB5), (0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x2160, 0x217F), (0xFB00, 0xFB06)]
@@ -114,6 +120,19 @@ def decomposed(text: str) -> str:
     return "".join(out + sorted(marks, key=unicodedata.combining))
 
 
+def _composed() -> list[str]:
+    """All characters with a canonical decomposition, but for Hangul syllables, which are their own composed form."""
+    return [char for char in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.decomposition(char)[:1] not in ("", "<")]
+
+
+def _attached(composed: list[str]) -> set[str]:
+    """All characters that may be sorted or composed with one before them, as marks, vowel signs and jamo, or enclose it."""
+    marks = {char for char in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.combining(char)}
+    for char in composed:
+        marks.update(unicodedata.normalize("NFD", char)[1:])
+    return marks | set(_inside([(0x1161, 0x1175), (0x11A8, 0x11C2), (0x20D0, 0x20F0)]))
+
+
 class Transducer:
     """The compiled mapping: a trie over sequences of characters whose nodes carry the output of the sequence so far.
 
@@ -127,9 +146,10 @@ class Transducer:
         self.root: dict = {}
         self._compile()
         self._known: dict[str, str] = {}
-        marks = "".join(char for char in _inside([(0x300, 0x36F), (0x483, 0x487), (0x591, 0x5BD), (0x64B, 0x65F), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20F0), (0x3099, 0x309A), (0xFE20, 0xFE2F)]))
-        extend = _char_class(set(marks) | self.invisible | {"ﾞ", "ﾟ"})
-        change = _char_class({c for c in self.base if c not in self.invisible} | {c for c in _inside([(0x80, 0x2FFF), (0xAC00, 0xD7A3), (0xF900, 0xFAFF)]) if unicodedata.normalize("NFC", c) != c or self._folds(c)})
+        composed = _composed()
+        marks = _attached(composed)
+        extend = _char_class(marks | self.invisible | {"ﾞ", "ﾟ"})
+        change = _char_class({c for c in self.base if c not in self.invisible} | {c for c in composed if unicodedata.normalize("NFC", c) != c or self._folds(c)})
         jamo = "[ᄀ-ᄒ][ᅡ-ᅵ][ᆨ-ᇂ]?"
         #: A cluster that may change: a base with a rule, or any base that marks or invisible characters follow.
         self.cluster = re.compile(f"{jamo}|{change}{extend}*|[^{extend[1:-1]}]{extend}+|{extend}+", re.DOTALL)
@@ -170,6 +190,8 @@ class Transducer:
         """The consistent form of one cluster: the longest compiled sequence, over invisible characters, then its rest."""
         if cluster[0] in self.invisible and not cluster.strip("".join(self.invisible)):
             return ""
+        if _within(cluster[0], ORDERED) and not JOINED.isdisjoint(cluster):
+            return "".join(part if part in JOINED else self._cluster(part) for part in _JOINER.split(cluster) if part)
         visible = "".join(char for char in cluster if char not in self.invisible)
         if not visible:
             return ""

@@ -99,3 +99,20 @@ def test_long_runs_of_marks():
 def test_very_long_text():
     text = "e\u0301\u200b " * 200_000
     assert transducer()(text) == "é " * 200_000
+
+
+def test_canonical_equivalents_of_all_characters():
+    t = transducer()
+    for char in map(chr, range(0x80, 0x110000)):
+        parts = unicodedata.normalize("NFD", char)
+        if parts != char:
+            assert t(char) == t(parts) == t(t(char)) and t(f"x{char} ") == t(f"x{parts} "), hex(ord(char))
+    for one, two in (("\ufb1d", "\u05d9\u05b4"), ("\u0995\u09cb", "\u0995\u09c7\u09be"), ("\uac01", "\uac00\u11a8"), ("\u0915\u093c\u094d", "\u0915\u094d\u093c")):
+        assert t(one) == t(two), ascii(one)
+
+
+def test_joiners_keep_their_place_beside_signs():
+    t = transducer()
+    for text in ("\u09b0\u200d\u09cd\u09af", "\u09b0\u09cd\u200d\u09af", "\u0915\u094d\u200c\u0937", "\u0d28\u0d4d\u200d"):
+        assert t(text) == text
+    assert t("\u0915\u200b\u094d\u200d\u0937") == "\u0915\u094d\u200d\u0937"
