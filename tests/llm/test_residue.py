@@ -199,3 +199,58 @@ def test_repeated_heads_take_no_long_time(part):
     began = time.perf_counter()
     residue(part * 20_000 + "\\begin{document}" + part * 20_000 + "}" * 20_000)
     assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize(
+    "passage",
+    [
+        "In Jinja, a variable is written {{ name }} and is replaced when the page is made.", "Python formats {name} and {value} inside strings.", "The syntax of a loop is {% for x in xs %} and of its end {% endfor %} in this language.",
+        "Sorry, the proof of Lemma 2 in the first version was incomplete.", "Unable to render triangles in hyperbolic space, early software used discs.", '{"status": "ok"} is an example of a reply.', "An error occurred, in our view, in the proof of the lemma.",
+        "The reply ``{{ name }}'' was seen once in the whole corpus of the archive.", "Could not find a difference between both groups, as the sample was small.", "Something went wrong in the second run, which was repeated.", r"The slot \texttt{{{ name }}} is kept.", '{"status": "ok", "rows": 3}',
+    ],
+)
+def test_prose_about_residue(passage):
+    assert residue(ARTICLE.replace("%s", passage)) is None
+
+
+@pytest.mark.parametrize(
+    "passage",
+    [
+        "blah text Text bla foo bar asdf text bla Text foo bar", "foo bar baz foo bar", "asdf asdf", "qwerty", "Sorry, we could not find that page.", "Unable to load the requested document.", "Failed to load resource", '{"error": "not found"}', '{\n  "status": 503,\n  "detail": "overloaded"\n}',
+        "Pagina non trovata", "Página não encontrada", "Страница не найдена", "页面不存在", "ページが見つかりません", "Nie znaleziono strony", "Pagina niet gevonden", "Per leggere l'articolo è necessario abilitare JavaScript.", "Ative o JavaScript para ler o artigo.",
+        "Включите JavaScript в браузере.", "请启用JavaScript", "このページを表示するにはJavaScriptを有効にしてください", "Zet JavaScript aan om dit te lezen.", "Włącz JavaScript, aby czytać artykuł.", "kufiko-1: This item is no longer hosted here.",
+        "Inserire qui il testo", "Insira aqui o resumo", "Wpisz tutaj tekst", "Введите текст", "请输入正文", "ここに本文を入力してください", "Samenvatting volgt",
+    ],
+)
+def test_more_residue(passage):
+    assert residue(ARTICLE.replace("%s", passage)) and residue(passage)
+
+
+@pytest.mark.parametrize("author", [r"Jane Roe\thanks{Univ. A; corresponding author}", "A. Lee, B. Wu (first author)", r"Jane Roe, Corresponding Author", r"A. Lee \\ Institute of Fields \and B. Wu", r"First author: A. Lee", r"A. Lee\inst{1} \and B. Wu\inst{2}"])
+def test_authors_with_roles(author):
+    assert residue(ARTICLE.replace(r"A. Name \and B. Other", author).replace("%s", "Fine.")) is None
+
+
+@pytest.mark.parametrize("author", [r"First Author, Institution Name", r"First Author$^{1}$ \and Second Author$^{2}$", r"\textbf{Author One}\\University Name", r"Corresponding Author", r"Firstname Lastname", r"A. Lee \and {author_2}", r"Author 1 and Author 2", r"Erster Autor \and Zweiter Autor"])
+def test_stock_authors(author):
+    assert residue(ARTICLE.replace(r"A. Name \and B. Other", author).replace("%s", "Fine.")) == "placeholder"
+
+
+@pytest.mark.parametrize("opening", ["```\nexport A={{ a }}\n", "\\iffalse\n{{ a }}\n", "\\begin{verbatim}\n{{ a }}\n", "\\begin{comment}\n[Insert text here]\n"])
+def test_open_blocks_end_with_their_paragraph(opening):
+    assert residue(ARTICLE.replace("%s", opening + "\nThe field is strong.\n\nIt ends.")) is None
+    assert residue(ARTICLE.replace("%s", opening + "\n\n404 Not Found")) == "error"
+    assert residue("404 Not Found\n\n" + opening) == "error"
+
+
+def test_text_behind_the_end_of_a_document():
+    assert residue(ARTICLE.replace("%s", "Fine.") + "\n[Insert text here]") is None
+    assert residue("The command \\end{document} is missing.\n\n[Insert text here]") == "placeholder"
+
+
+def test_phrases_miss_nothing(monkeypatch):
+    """The verdicts are the same where every passage is read by all rules."""
+    texts = [*WHOLE, *PASSAGES, *CONTENT, *LONG]
+    found = [residue(ARTICLE.replace("%s", text)) for text in texts]
+    monkeypatch.setattr("brindle.llm.residue._mentioned", lambda passage: 7)
+    assert [residue(ARTICLE.replace("%s", text)) for text in texts] == found
