@@ -6,14 +6,14 @@ bare token. All expressions run inside generated code; none of them raises on od
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LITERAL = r'(?s)^"(.*)"(?:@[^"]*|\^\^[^"]*)?$'
-_INTEGER = r"^([+-]?)0*([0-9]+)$"
+_INTEGER = r"^[+-]?[0-9]+$"
 _DECIMAL = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)$"
 _USUAL = r"^[+-]?[0-9]{0,30}(?:\.[0-9]{0,6})?$"
 _PARTS = r"^([+-]?)0*([0-9]*)(?:\.([0-9]*))?$"
+_SPACES = " \t\r\n"
 _DATE = r"^(-?(?:[1-9][0-9]{4,}|[0-9]{4}))-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])$"
 
 #: The datatypes that ``canonical_value`` knows, with the Spark type of a typed column.
@@ -21,15 +21,21 @@ DATATYPES = {"integer": "bigint", "decimal": "decimal(38,2)", "date": "date", "b
 
 
 def content(o: Column) -> Column:
-    """The text between the quotes of a literal or the whole bare token; null for an IRI, a blank node or null."""
+    """The text between the quotes of a literal or the whole bare token; null for an IRI, a blank node or null.
+
+    What follows the last quote is the tag, so a literal needs no pattern.
+    """
     node = o.startswith("<") | o.startswith("_:")
-    quoted = o.startswith('"')
-    return F.when(node, None).when(quoted, F.when(o.rlike(_LITERAL), F.regexp_extract(o, _LITERAL, 1))).otherwise(o)
+    tag = F.substring_index(o, '"', -1)
+    inside = F.length(o) - F.length(tag) - 2
+    closed = (inside >= 0) & ((tag == "") | tag.startswith("@") | tag.startswith("^^"))
+    return F.when(node, None).when(o.startswith('"'), F.when(closed, F.substring(o, F.lit(2), inside))).otherwise(o)
 
 
 def _integer(v: Column) -> Column:
-    sign, digits = F.regexp_extract(v, _INTEGER, 1), F.regexp_extract(v, _INTEGER, 2)
-    return F.when(v.rlike(_INTEGER), F.when((sign == "-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits))
+    signed = v.startswith("+") | v.startswith("-")
+    digits = F.ltrim(F.when(signed, F.substring(v, F.lit(2), F.length(v))).otherwise(v), F.lit("0"))
+    return F.when(v.rlike(_INTEGER), F.when(digits == "", "0").when(v.startswith("-"), F.concat(F.lit("-"), digits)).otherwise(digits))
 
 
 def _decimal(v: Column) -> Column:
@@ -65,6 +71,16 @@ def _boolean(v: Column) -> Column:
     return F.when(v.isin("true", "1"), "true").when(v.isin("false", "0"), "false")
 
 
+def _canonical(text: Column, value: Column, datatype: Column) -> Column:
+    return (
+        F.when(datatype == "string", text)
+        .when(datatype == "integer", _integer(value))
+        .when(datatype == "decimal", _decimal(value))
+        .when(datatype == "date", _date(value))
+        .when(datatype == "boolean", _boolean(value))
+    )
+
+
 def canonical_value(o: Column, datatype: Column) -> Column:
     """The canonical text of object ``o`` read as ``datatype``, or null where it is no lexical form of it.
 
@@ -73,11 +89,12 @@ def canonical_value(o: Column, datatype: Column) -> Column:
     A null, an IRI, a blank node and an unknown datatype give null.
     """
     text = content(o)
-    value = F.regexp_replace(text, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
-    return (
-        F.when(datatype == "string", text)
-        .when(datatype == "integer", _integer(value))
-        .when(datatype == "decimal", _decimal(value))
-        .when(datatype == "date", _date(value))
-        .when(datatype == "boolean", _boolean(value))
-    )
+    return _canonical(text, F.btrim(text, F.lit(_SPACES)), datatype)
+
+
+def with_canonical(df: DataFrame, o: Column, datatype: Column, name: str, *kept: str) -> DataFrame:
+    """(*kept, name): the columns ``kept`` of ``df`` and the canonical text of ``o`` read as ``datatype``, as ``canonical_value``
+    has it. Content and trimmed content are columns of their own on the way, so each is worked out once for a row."""
+    texts = df.select(*kept, content(o).alias("_text"), datatype.alias("_type"))
+    values = texts.select(*kept, "_text", "_type", F.btrim("_text", F.lit(_SPACES)).alias("_value"))
+    return values.select(*kept, _canonical(F.col("_text"), F.col("_value"), F.col("_type")).alias(name))

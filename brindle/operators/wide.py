@@ -9,15 +9,19 @@ resolved explicitly: the latest statement wins, or all distinct values are kept.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.terms import DATATYPES, canonical_value
+from brindle.functions.terms import DATATYPES, canonical_value, content, with_canonical
 
 #: The most attributes a wide table may get; more are refused rather than cut off.
 MOST_ATTRIBUTES = 2_000
 
+#: The fewest parts of a hot entity.
+LEAST_PARTS = 256
+
 
 @dataclass(frozen=True)
 class Attribute:
@@ -38,20 +42,28 @@ def attributes_of(catalogue: DataFrame) -> list[Attribute]:
     return _checked([Attribute(*row) for row in rows])
 
 
+def attribute_types(triples: DataFrame, least_share: float = 1.0) -> DataFrame:
+    """(p, n, datatype) of every predicate of ``triples`` (p, o) with literal values, n being their number.
+
+    The type is the first of boolean, integer, decimal and date that at least ``least_share`` of the literals are lexical
+    forms of, else string. All rows are read, in one aggregation by predicate that combines before its shuffle.
+    """
+    literals = triples.where("p is not null").select("p", "o", content(F.col("o")).alias("_text"))
+    forms = {t: F.count(canonical_value(F.col("o"), F.lit(t))).alias(t) for t in ("boolean", "integer", "decimal", "date")}
+    counts = literals.groupBy("p").agg(F.count("_text").alias("n"), *forms.values()).where("n > 0")
+    part = Fraction(str(least_share))
+    fits = F.coalesce(*(F.when(F.col(t) * part.denominator >= F.col("n") * part.numerator, F.lit(t)) for t in forms), F.lit("string"))
+    return counts.select("p", "n", fits.alias("datatype"))
+
+
 def discover_attributes(triples: DataFrame, least_share: float = 1.0) -> list[Attribute]:
-    """The attributes of ``triples`` (p, o) without a catalogue: every predicate with literal values.
+    """The attributes of ``triples`` (p, o) without a catalogue: every predicate with literal values, see ``attribute_types``.
 
-    The type is the first of boolean, integer, decimal and date that at least ``least_share`` of the predicate's
-    literals are lexical forms of, else string. All rows are read, in one aggregation by predicate. The column is the
-    predicate's last path step with other signs than letters and digits as ``_``; a number is added where two collide.
+    The column is the predicate's last path step with other signs than letters and digits as ``_``; a number is added where
+    two collide.
     """
-    o = F.col("o")
-    literal = canonical_value(o, F.lit("string")).isNotNull()
-    forms = {t: F.count(canonical_value(o, F.lit(t))).alias(t) for t in ("boolean", "integer", "decimal", "date")}
-    counts = triples.where(F.col("p").isNotNull() & literal).groupBy("p").agg(F.count(F.lit(1)).alias("n"), *forms.values())
-    fits = F.coalesce(*(F.when(F.col(t) >= least_share * F.col("n"), F.lit(t)) for t in forms), F.lit("string"))
     found, used = [], set()
-    for p, datatype in sorted(counts.select("p", fits.alias("t")).limit(MOST_ATTRIBUTES + 1).collect()):
+    for p, datatype in sorted(attribute_types(triples, least_share).select("p", "datatype").limit(MOST_ATTRIBUTES + 1).collect()):
         step = "".join(c if c.isalnum() else "_" for c in p.strip("<>").rstrip("/#").replace("#", "/").rsplit("/", 1)[-1]) or "value"
         name, k = step, 1
         while name.lower() in used:
@@ -76,15 +88,17 @@ def _typed(value: Column, datatype: str) -> Column:
 
 
 def _cells(triples: DataFrame, attributes: list[Attribute], *more: str) -> DataFrame:
-    """(s, p, v, *more): rows whose object is a value of its attribute, v being its canonical text."""
-    datatype = F.col("p")
+    """(s, p, v, *more): rows of the attributes, v being the canonical text of the object, null where it is no value.
+
+    Those nulls stay: a filter on v would be pushed below its expression, which would then be worked out twice.
+    """
     by_type = F.lit(None).cast("string")
     for name in DATATYPES:
         of_type = [a.predicate for a in attributes if a.datatype == name]
         if of_type:
-            by_type = F.when(datatype.isin(of_type), F.lit(name)).otherwise(by_type)
+            by_type = F.when(F.col("p").isin(of_type), F.lit(name)).otherwise(by_type)
     held = triples.where(F.col("s").isNotNull() & F.col("p").isin([a.predicate for a in attributes]) & F.col("o").isNotNull())
-    return held.select("s", "p", canonical_value(F.col("o"), by_type).alias("v"), *more).where("v is not null")
+    return with_canonical(held, F.col("o"), by_type, "v", "s", "p", *more)
 
 
 def widen(triples: DataFrame, attributes: list[Attribute], order: list[str]) -> DataFrame:
@@ -92,28 +106,32 @@ def widen(triples: DataFrame, attributes: list[Attribute], order: list[str]) ->
 
     Of several values the one of the row that is last by ``order`` counts, a null there being first; of rows equal in it
     the greatest canonical text. A missing or unfit value is null. An integer beyond 64 bits and a decimal beyond
-    36 digits before the point are null in their columns, and kept as text by ``cells``. Nulls in s, p and o, other predicates and other columns are ignored.
+    36 digits before the point are null in their columns, and kept as text by ``cells``. Nulls in s, p and o, other
+    predicates and other columns are ignored.
     """
     _single(triples, "s", "p", "o", *order)
     cells = _cells(triples, attributes, *order)
-    picks = [F.max(F.when(F.col("p") == a.predicate, F.struct(*order, "v"))).alias(f"c{k}") for k, a in enumerate(attributes)]
-    wide = cells.groupBy("s").agg(*picks)
+    picks = [F.max(F.when((F.col("p") == a.predicate) & F.col("v").isNotNull(), F.struct(*order, "v"))).alias(f"c{k}") for k, a in enumerate(attributes)]
+    wide = cells.groupBy("s").agg(*picks).where(F.coalesce(F.lit(None).cast("boolean"), *(F.when(F.col(f"c{k}").isNotNull(), True) for k in range(len(attributes)))))
     return wide.select("s", *(_typed(F.col(f"c{k}.v"), a.datatype).alias(a.column) for k, a in enumerate(attributes)))
 
 
-def widen_all(triples: DataFrame, attributes: list[Attribute], hot_share: float = 0.001) -> DataFrame:
+def widen_all(triples: DataFrame, attributes: list[Attribute], hot_share: float = 0.001, part_rows: int = 10_000) -> DataFrame:
     """(s, part, one array column for each attribute) with every distinct canonical value of each cell.
 
-    A usual entity has one row, with part 0. An entity with more than ``hot_share`` of all rows is split over parts by a
-    hash of its values, so that no task and no row has to hold an unbounded group; at most 1/hot_share entities can be hot,
-    which bounds the list that is joined. Repeated statements are combined before the shuffle.
+    A usual entity has one row, with part 0. An entity with more than ``hot_share`` of all distinct cells, and more than
+    ``part_rows``, is split by a hash of its values over parts of at most about ``part_rows`` cells (``LEAST_PARTS`` parts at
+    least), so that no task and no row has to hold an unbounded group; at most 1/hot_share entities can be hot, which bounds the list that is broadcast. Repeated
+    statements are combined before the shuffle. The table is read once: the cells of an entity are counted in the
+    aggregation that makes them distinct.
     """
     _single(triples, "s", "p", "o")
     cells = _cells(triples, attributes).distinct()
-    total = triples.agg((F.count(F.lit(1)) * F.lit(hot_share)).alias("n"))
-    hot = triples.where("s is not null").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > F.greatest(total.scalar(), F.lit(10_000)))
-    spread = cells.join(F.broadcast(hot.select("s", F.lit(1).alias("hot"))), "s", "left")
-    part = F.when(F.col("hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("p", "v"), F.lit(256)).cast("int"))
+    counts = cells.groupBy(F.xxhash64("s").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg((F.sum("n") * F.lit(hot_share)).alias("n"))
+    hot = counts.where(F.col("n") > F.greatest(total.scalar(), F.lit(part_rows))).select("h", F.greatest(F.lit(LEAST_PARTS), F.ceil(F.col("n") / part_rows)).alias("parts"))
+    spread = cells.withColumn("h", F.xxhash64("s")).join(F.broadcast(hot), "h", "left")
+    part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("p", "v"), F.col("parts")).cast("int"))
     lists = [F.collect_list(F.when(F.col("p") == a.predicate, F.col("v"))).alias(a.column) for a in attributes]
     return spread.groupBy("s", part.alias("part")).agg(*lists)
 

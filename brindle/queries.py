@@ -24,6 +24,11 @@ def p2_wide(spark: SparkSession, root: str) -> DataFrame:
     return wide.widen(table(spark, root, "dictionary"), attributes, ["stated_at", "row_id"])
 
 
+def p2_types(spark: SparkSession, root: str) -> DataFrame:
+    """(p, n, datatype): the attributes that the data itself shows, with the type of nine tenths of their literals."""
+    return wide.attribute_types(table(spark, root, "dictionary"), 0.9)
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """(side, k): the ids with at least 1 % of all rows of ``store`` on a side."""
     return hotkeys.frequent_keys(table(spark, root, "store"), "s_set_", "o_set_", 0.01).select("side", "k")
@@ -93,6 +98,25 @@ def _wide_sql() -> str:
     """
 
 
+def _types_sql() -> str:
+    return r"""
+        with t as (
+            select p, case when starts_with(o, '<') or starts_with(o, '_:') then null
+                     when starts_with(o, '"') then
+                        case when regexp_full_match(o, '"(.*)"(@[^"]*|\^\^[^"]*)?', 's') then regexp_extract(o, '^"(.*)"(@[^"]*|\^\^[^"]*)?$', 1, 's') end
+                     else o end as t
+            from dictionary where p is not null
+        ), u as (select p, trim(t, E' \t\r\n') as x from t where t is not null),
+        c as (
+            select p, count(*) as n, count(*) filter (x in ('true', 'false', '0', '1')) as b, count(*) filter (regexp_full_match(x, '[+-]?[0-9]+')) as i,
+                count(*) filter (regexp_full_match(x, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)')) as d,
+                count(*) filter (regexp_full_match(x, '[0-9]{4}-[0-9]{2}-[0-9]{2}') and try_cast(x as date) is not null) as t
+            from u group by p
+        )
+        select p, n, case when b * 10 >= n * 9 then 'boolean' when i * 10 >= n * 9 then 'integer' when d * 10 >= n * 9 then 'decimal' when t * 10 >= n * 9 then 'date' else 'string' end as datatype from c
+    """
+
+
 def _lines_sql() -> str:
     uchar = r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}"
     iri = rf'<(?:[^\x00-\x20<>"{{}}|^`\\]|{uchar})*>'
@@ -112,7 +136,7 @@ def _lines_sql() -> str:
     """
 
 
-PREPARATION: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_wide, p4_found, p4_keys, p4_paths, p5_found, p5_loaded)}
+PREPARATION: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_wide, p2_types, p4_found, p4_keys, p4_paths, p5_found, p5_loaded)}
 
 _KEYS_SQL = """
     select 's' as side, s_set_ as k, count(*) as n_rows, count(distinct o_set_) as n_partners from store where s_set_ is not null group by s_set_
@@ -125,6 +149,7 @@ def preparation_sql() -> dict[str, str]:
     return {
         "p2_found": _cells_sql() + "select distinct s, p, v from c where v is not null",
         "p2_wide": _wide_sql(),
+        "p2_types": _types_sql(),
         "p4_found": f"select side, k from ({_KEYS_SQL}) where n_rows >= 0.01 * (select count(*) from store)",
         "p4_keys": _KEYS_SQL,
         "p4_paths": """
