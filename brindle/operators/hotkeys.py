@@ -50,13 +50,19 @@ def key_profile(df: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def side_rows(profile: DataFrame) -> DataFrame:
-    """(side, k, n_rows, n_partners): a ``key_profile`` with one row for each side on which a key occurs."""
-    sides = F.array(*(F.struct(F.lit(x).alias("side"), F.col(f"{x}_rows").alias("n_rows"), F.col(f"{x}_partners").alias("n_partners")) for x in "so"))
-    return profile.select("k", F.explode(sides).alias("x")).select("x.side", "k", "x.n_rows", "x.n_partners").where("n_rows > 0")
+    """(side, k, n_rows, n_partners, paths): a ``key_profile`` with one row for each side on which a key occurs.
+
+    The joined states are multiplied by the weights of a side, 1 for its own numbers and 0 for those of the other, and the
+    products are rolled up by side and key: a key has one joined state, so this moves two small rows for it at most.
+    """
+    weights = F.array(*(F.struct(F.lit(side).alias("side"), F.lit(s).cast("long").alias("ws"), F.lit(1 - s).cast("long").alias("wo")) for side, s in (("s", 1), ("o", 0))))
+    weighed = profile.select("*", F.explode(weights).alias("w")).select("w.*", "k", "s_rows", "o_rows", "s_partners", "o_partners", "paths")
+    sums = [F.sum(F.col(f"s_{what}") * F.col("ws") + F.col(f"o_{what}") * F.col("wo")).alias(f"n_{what}") for what in ("rows", "partners")]
+    return weighed.groupBy("side", "k").agg(*sums, F.max("paths").alias("paths")).where("n_rows > 0")
 
 
 def frequent_keys(df: DataFrame, left: str, right: str, share: float) -> DataFrame:
-    """(side, k, n_rows, n_partners): the keys that hold at least ``share`` of all rows of ``df`` on a side."""
+    """(side, k, n_rows, n_partners, paths): the keys that hold at least ``share`` of all rows of ``df`` on a side."""
     part = Fraction(str(share))
     rows = df.agg((F.count(F.lit(1)) * part.numerator).alias("rows"))
     return side_rows(key_profile(df, left, right)).where(F.col("n_rows") * part.denominator >= rows.scalar())

@@ -35,7 +35,7 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_keys(spark: SparkSession, root: str) -> DataFrame:
-    """(side, k, n_rows, n_partners) of every id on each side."""
+    """(side, k, n_rows, n_partners, paths) of every id on each side; paths counts the pairs of rows that meet in the id."""
     return hotkeys.side_rows(hotkeys.key_profile(table(spark, root, "store"), "s_set_", "o_set_"))
 
 
@@ -151,7 +151,8 @@ def preparation_sql() -> dict[str, str]:
         "p2_wide": _wide_sql(),
         "p2_types": _types_sql(),
         "p4_found": f"select side, k from ({_KEYS_SQL}) where n_rows >= 0.01 * (select count(*) from store)",
-        "p4_keys": _KEYS_SQL,
+        "p4_keys": f"""with n as ({_KEYS_SQL}), s as (select k, n_rows from n where side = 's'), o as (select k, n_rows from n where side = 'o')
+            select side, n.k, n.n_rows, n_partners, cast(coalesce(s.n_rows, 0) as decimal(38, 0)) * coalesce(o.n_rows, 0) as paths from n left join s on n.k = s.k left join o on n.k = o.k""",
         "p4_paths": """
             select a.pid, b.next_pid, cast(sum(cast(a.n as decimal(38, 0)) * b.n) as decimal(38, 0)) as n
             from (select o_set_ as id, pid, count(*) as n from store where o_set_ is not null group by all) a
