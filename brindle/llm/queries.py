@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.encode import encode_texts
 from brindle.llm.frequent import frequent_values, top_values
-from brindle.llm.glyphs import consistent, same_looking_pairs
+from brindle.llm.glyphs import consistent, same_looking_classes, same_looking_pairs
 from brindle.llm.packing import pack_documents
 from brindle.llm.residue import find_residue, without_residue
 from brindle.session import table
@@ -26,6 +26,11 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return same_looking_pairs(_text_rows(spark, root), "row_id", "o")
 
 
+def p1_classes(spark: SparkSession, root: str) -> DataFrame:
+    """(row_id, class_id, n_links): every text row that looks like a different one, its class and its number of such rows."""
+    return same_looking_classes(_text_rows(spark, root), "row_id", "o")
+
+
 def p1_forms(spark: SparkSession, root: str) -> DataFrame:
     """(row_id, form): every text row with its o in consistent form; null for null."""
     return _text_rows(spark, root).select("row_id", consistent(F.col("o")).alias("form"))
@@ -62,7 +67,7 @@ def p8_kept(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_top, p6_ids, p7_containers, p8_found, p8_kept)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p1_forms, p3_found, p3_top, p6_ids, p7_containers, p8_found, p8_kept)}
 
 
 def oracle_sql() -> dict[str, str]:

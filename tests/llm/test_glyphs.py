@@ -1,3 +1,4 @@
+import collections
 import itertools
 import unicodedata
 
@@ -5,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from brindle.llm.glyphs import LOOK_ALIKES, Transducer, base_rules, consistent, resolve, same_looking_pairs, transducer
+from brindle.llm.glyphs import LOOK_ALIKES, Transducer, base_rules, consistent, resolve, same_looking_classes, same_looking_pairs, transducer
 from pyspark.sql import functions as F
 
 SAME = [
@@ -87,6 +88,36 @@ def test_pairs_against_brute_force(spark):
 def test_hot_text_gives_its_pairs_only(spark):
     hot = spark.range(20_000).selectExpr("id as row_id", "'hot' as o").unionByName(spark.createDataFrame([(-1, "h\u200bot"), (-2, "һot")], "row_id long, o string"))
     assert same_looking_pairs(hot, "row_id", "o").count() == 2 * 20_000 + 1
+    assert same_looking_pairs(hot, "row_id", "o", hot_rows=90).distinct().count() == 2 * 20_000 + 1
+
+
+def test_two_hot_texts(spark):
+    rows = spark.range(700).selectExpr("id as row_id", "case when id % 7 < 4 then 'hot' when id % 7 < 6 then 'h\u200bot' else concat('x', id) end as o")
+    assert same_looking_pairs(rows, "row_id", "o", hot_rows=50).distinct().count() == 400 * 200 == same_looking_pairs(rows, "row_id", "o", hot_rows=50).count()
+    classes = same_looking_classes(rows, "row_id", "o", hot_rows=50)
+    assert {tuple(r) for r in classes.groupBy("class_id", "n_links").count().collect()} == {(0, 200, 400), (0, 400, 200)}
+
+
+def test_classes_against_pairs(spark):
+    df = spark.createDataFrame([(k, t, "clash", 1) for k, t in ROWS], "row_id long, o string, form string, n int")
+    pairs = [tuple(row) for row in same_looking_pairs(df, "row_id", "o").collect()]
+    classes = {row.row_id: (row.class_id, row.n_links) for row in same_looking_classes(df, "row_id", "o").collect()}
+    assert {k: n for k, (_, n) in classes.items()} == dict(collections.Counter(itertools.chain(*pairs)))
+    assert all(classes[a][0] == classes[b][0] <= a for a, b in pairs)
+    assert same_looking_classes(df.limit(0), "row_id", "o").collect() == []
+
+
+def test_letters_that_are_drawn_alike():
+    t = transducer()
+    for one, two in ("ӕæ", "ӔÆ", "әə", "ӘƏ", "ӡʒ", "ĐÐ", "ƉÐ", "ⲞO", "ꓐB", "۱١", ("o\u0338", "ø"), ("o\u0338\u0301", "ǿ"), ("d\u0335", "đ"), ("l\u0337", "ł"), ("о\u0301\u0338", "ǿ")):
+        assert t(one) == t(two), ascii((one, two))
+    for one, two in ("۴٤", "đð", "oø", "łl", "²2", "–-"):
+        assert t(one) != t(two), ascii((one, two))
+
+
+def test_rest_behind_the_longest_sequence():
+    t = Transducer([("x", "ο", "o"), ("x", "\u200b", "")])
+    assert t("ο\u0301\u0323") == "\u1ecd\u0301" and t("ο\u200b\u0323\u0301") == "\u1ecd\u0301" and t("ο\u0302\u0301\u0348") == t("\u1ed1\u0348")
 
 
 def test_long_runs_of_marks():
