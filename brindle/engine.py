@@ -13,10 +13,10 @@ from brindle.sources.graph import FrameGraph, Graph, StoredGraph
 from brindle.sources.store import Store
 
 
-def sparql(graph: Graph | DataFrame, text: str, multiway: bool = True) -> DataFrame:
+def sparql(graph: Graph | DataFrame, text: str, multiway: bool | None = None) -> DataFrame:
     """The lazy answer of a query over a graph, or over a DataFrame with the columns s, p and o.
 
-    Without ``multiway`` cycles are closed by binary joins, see ``compile_query``.
+    ``multiway`` tells whether cycles are closed by multiway steps; by default the statistics decide, see ``compile_query``.
     """
     return compile_query(graph if isinstance(graph, Graph) else FrameGraph(graph), parse(text), multiway)
 

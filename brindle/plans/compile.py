@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.terms import content
-from brindle.plans.order import ordered
+from brindle.plans.order import estimated_rows, expands, ordered
 from brindle.plans.syntax import Comparison, Pattern, Query, Term, Var
 from brindle.sources.graph import Graph
 
@@ -36,29 +37,51 @@ def _bindings(found: DataFrame, places: list[tuple[str, Term]]) -> DataFrame:
     return found.select(*(F.col(column).alias(_internal(name)) for name, column in bound.items()))
 
 
+@dataclass
+class Input:
+    """What is joined: the bindings of some patterns, with repetitions if ``repeats``, and their estimated number."""
+
+    frame: DataFrame
+    patterns: list[Pattern]
+    repeats: bool
+    rows: float
+
+    @property
+    def columns(self) -> list[str]:
+        return self.frame.columns
+
+    def distinct(self) -> DataFrame:
+        return self.frame.distinct() if self.repeats else self.frame
+
+    def keys(self, columns: list[str]) -> DataFrame:
+        """The distinct values of some columns: that combines a hot key in the map tasks."""
+        return self.frame.select(columns).distinct()
+
+
 def match(graph: Graph, pattern: Pattern) -> DataFrame:
-    """The bindings of one pattern."""
-    found = _bindings(graph.scan(pattern), list(zip("spo", pattern.terms(), strict=True)))
-    # Constants and variables fix all three places, so the set of triples is the set of bindings.
-    return found if graph.is_set or not pattern.variables() else found.distinct()
+    """The bindings of one pattern, each once."""
+    return _inputs(graph, [pattern])[0].distinct()
 
 
-def _inputs(graph: Graph, patterns: list[Pattern]) -> list[DataFrame]:
-    """The frames to join, in the order of ``patterns``; patterns that one row answers share a frame."""
+def _inputs(graph: Graph, patterns: list[Pattern]) -> list[Input]:
+    """The inputs to join, in the order of ``patterns``; patterns that one row answers share an input."""
     out, rest = [], list(patterns)
     while rest:
         shared = graph.same_row(rest)
         if shared:
             taken, rows = shared
-            out.append(_bindings(rows, [("s", taken[0].s), *((f"o{k}", p.o) for k, p in enumerate(taken))]))
+            frame, repeats = _bindings(rows, [("s", taken[0].s), *((f"o{k}", p.o) for k, p in enumerate(taken))]), False
         else:
             taken = rest[:1]
-            out.append(match(graph, rest[0]))
+            frame = _bindings(graph.scan(rest[0]), list(zip("spo", rest[0].terms(), strict=True)))
+            # Constants and variables fix all three places, so the set of triples is the set of bindings.
+            repeats = not graph.is_set and bool(rest[0].variables())
+        out.append(Input(frame, taken, repeats, min(estimated_rows(p, graph.statistics(), graph.total()) for p in taken)))
         rest = [p for p in rest if p not in taken]
     return out
 
 
-def _closing(result: DataFrame, waiting: list[DataFrame]) -> list[int]:
+def _closing(result: DataFrame, waiting: list[Input]) -> list[int]:
     """The numbers of at least two inputs that bind one and the same new variable, their other variables being bound."""
     by_new: dict[str, list[int]] = {}
     for k, one in enumerate(waiting):
@@ -90,36 +113,53 @@ def _multiway(result: DataFrame, inputs: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _conjunction(graph: Graph, patterns: tuple[Pattern, ...], wanted: set[str] | None = None, multiway: bool = True) -> DataFrame:
+def _narrowed(one: Input, shared: list[str], done: list[Input]) -> DataFrame:
+    """The distinct bindings of ``one`` that may meet what was joined before it on ``shared``.
+
+    Where an earlier input with far fewer rows binds these variables too, a semi join with its keys comes first: it leaves less to
+    make distinct, and the partitioning by key then serves the semi join, the distinct and the join.
+    """
+    if one.repeats:
+        few = [other for other in done if set(shared) <= set(other.columns) and other.rows * 4 <= one.rows]
+        if few:
+            return one.frame.join(min(few, key=lambda other: other.rows).keys(shared), shared, "left_semi").distinct()
+    return one.distinct()
+
+
+def _conjunction(graph: Graph, patterns: tuple[Pattern, ...], wanted: set[str] | None = None, multiway: bool | None = None) -> DataFrame:
     """The inner join of all patterns. Each is an input of its own, joined on every variable that is bound already; inputs
-    that close a cycle by one new variable are taken in one step.
+    that close a cycle by one new variable are taken in one step where the statistics call for it, or as ``multiway`` tells.
 
     With ``wanted`` the columns that are used afterwards are known and duplicates don't matter: an input that only tests
     whether something exists is then a semi join, which never multiplies rows.
     """
     result: DataFrame | None = None
-    waiting = _inputs(graph, ordered(patterns, graph.statistics(), graph.total()))
+    waiting, done = _inputs(graph, ordered(patterns, graph.statistics(), graph.total())), []
     while waiting:
         # A frame of several patterns may have come before what connects it: it waits for that.
-        closing = _closing(result, waiting) if multiway and result is not None else []
+        closing = _closing(result, waiting) if multiway is not False and result is not None else []
         if closing:
-            result = _multiway(result, [waiting[k] for k in closing])
-            waiting = [one for k, one in enumerate(waiting) if k not in closing]
-            continue
+            bound, open_ = [p for one in done for p in one.patterns], [p for k in closing for p in waiting[k].patterns]
+            if multiway or expands(bound, open_, graph.statistics(), graph.total()):
+                result = _multiway(result, [waiting[k].distinct() for k in closing])
+                done += [waiting[k] for k in closing]
+                waiting = [one for k, one in enumerate(waiting) if k not in closing]
+                continue
         at = 0 if result is None else next((k for k, one in enumerate(waiting) if set(one.columns) & set(result.columns)), 0)
         one = waiting.pop(at)
         if result is None:
-            result = one
+            result = one.distinct()
         else:
             shared = [c for c in one.columns if c in result.columns and c != "exists"]
             used = None if wanted is None else wanted.union(*(set(x.columns) for x in waiting))
             if used is not None and shared and not (set(one.columns) - set(shared)) & used:
-                # Distinct keys first: that combines a hot key in the map tasks, and the join uses the same exchange.
-                result = result.join(one.select(shared).distinct(), shared, "left_semi")
+                # The distinct keys and the join use the same exchange.
+                result = result.join(one.keys(shared), shared, "left_semi")
             elif used is not None and shared and not (set(result.columns) - set(shared)) & used:
-                result = one.join(result.select(shared).distinct(), shared, "left_semi")
+                result = one.distinct().join(result.select(shared).distinct(), shared, "left_semi")
             else:
-                result = result.join(one, shared) if shared else result.crossJoin(one)
+                result = result.join(_narrowed(one, shared, done), shared) if shared else result.crossJoin(one.distinct())
+        done.append(one)
         if "exists" in result.columns and len(result.columns) > 1:
             result = result.drop("exists")
     if result is None:
@@ -127,6 +167,20 @@ def _conjunction(graph: Graph, patterns: tuple[Pattern, ...], wanted: set[str] |
     return result
 
 
+def _optional(result: DataFrame, inner: DataFrame) -> DataFrame:
+    """``result`` with the bindings of an optional group where there are any.
+
+    A group without a shared variable is a cross product if it has a row at all, else nulls. It is written as these two cases: an
+    outer join without keys would broadcast the whole group, whatever its size.
+    """
+    shared = [c for c in inner.columns if c in result.columns]
+    if shared:
+        return result.join(inner, shared, "left")
+    found = inner.limit(1).agg(F.count(F.lit(1)).alias("n")).scalar()
+    alone = result.where(found == 0).select("*", *(F.lit(None).cast(inner.schema[c].dataType).alias(c) for c in inner.columns))
+    return result.crossJoin(inner).unionByName(alone)
+
+
 def _number(text: Column) -> Column:
     return text.try_cast("double")
 
@@ -162,13 +216,13 @@ def condition(test: Comparison) -> Column:
     return reduce(lambda a, b: a | b, map(one, test.values))
 
 
-def compile_query(graph: Graph, query: Query, multiway: bool = True) -> DataFrame:
+def compile_query(graph: Graph, query: Query, multiway: bool | None = None) -> DataFrame:
     """The answer of ``query``: a bag of rows with one STRING column for each selected variable.
 
     OPTIONAL groups are joined to the required patterns in their order of writing, FILTERs are applied to the result,
     then come projection, DISTINCT or COUNT, and LIMIT. COUNT gives each distinct row with its number of occurrences.
-    ``multiway`` closes cycles by ``_multiway`` instead of binary joins. That is two small joins more where few rows are
-    made anyway, but a hub that a binary join would square stays linear.
+    ``multiway`` closes cycles by ``_multiway`` always or never instead of by what the statistics show. It is two small
+    joins more where few rows are made anyway, but a hub that a binary join would square stays linear.
     """
     wanted = None
     if query.modifier == "DISTINCT":
@@ -179,10 +233,11 @@ def compile_query(graph: Graph, query: Query, multiway: bool = True) -> DataFram
     early = [f for f in query.filters if f.variable in required]
     for test in early:
         result = result.where(condition(test))
-    for group in query.optionals:
+    for group, tests in zip(query.optionals, query.optional_filters, strict=True):
         inner = _conjunction(graph, group, multiway=multiway)
-        shared = [c for c in inner.columns if c in result.columns]
-        result = result.join(inner, shared, "left") if shared else result.join(inner, how="left")
+        for test in tests:
+            inner = inner.where(condition(test))
+        result = _optional(result, inner)
     for test in query.filters:
         if test not in early:
             result = result.where(condition(test))
