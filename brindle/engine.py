@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from time import perf_counter
 
@@ -65,13 +66,18 @@ class Engine:
         """The lazy answer of a query over a database."""
         return sparql(self.graph(name), text)
 
+    def stream(self, name: str, text: str) -> tuple[list[str], Iterator[list[str | None]]]:
+        """The variables of a query and its rows one after another: the driver holds one partition of the answer at a time."""
+        frame = self.query(name, text)
+        return frame.columns, ([None if x is None else str(x) for x in row] for row in frame.toLocalIterator())
+
     def answer(self, name: str, text: str) -> Answer:
-        """The answer brought to the driver, for a user who reads all of it: give the query a LIMIT if it may be large."""
+        """All rows of a query as a list, for answers that a user means to hold; ``stream`` gives those of any size."""
         began = perf_counter()
         query: Query = parse(text)
         frame = compile_query(self.graph(name), query)
         planned = perf_counter()
-        rows = [[None if x is None else str(x) for x in row] for row in frame.collect()]
+        rows = [[None if x is None else str(x) for x in row] for row in frame.toLocalIterator()]
         return Answer(frame.columns, rows, (planned - began) * 1e3, (perf_counter() - planned) * 1e3)
 
     def serve(self, ip: str = "127.0.0.1", port: int = 8080, name: str | None = None, origin: str = "*") -> None:

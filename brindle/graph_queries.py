@@ -5,18 +5,23 @@ All columns are strings in the lexical form of the graph, apart from the count o
 
 from __future__ import annotations
 
+import io
+import json
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.engine import sparql
+from brindle.cli import run_queries
+from brindle.engine import Engine, sparql
 from brindle.operators.rejects import good_triples, load_lines
-from brindle.session import shared_dir, table
+from brindle.sales import sales_graph
+from brindle.server import Service
+from brindle.session import run_dir, table
 from brindle.sources.graph import FrameGraph
-from brindle.sources.relational import sales_graph
-from brindle.sources.store import Store
-from brindle.sources.termids import number_terms, term_zones
+from brindle.sources.store import Store, graph_info, predicate_counts, triple_counts
+from brindle.sources.termids import decode_triples, encode_triples, number_terms, term_zones
 
 
 def _iri(kind: str, column: str) -> str:
@@ -213,6 +218,8 @@ TRIPLES: dict[str, tuple[str, str]] = {
     ),
 }
 
+_CONTENT = """case when starts_with(o, '<') or starts_with(o, '_:') then o when starts_with(o, '"') then coalesce(regexp_extract(o, '^"(.*)"(@[^"]*|\\^\\^[^"]*)?$', 1, 's'), o) else o end"""
+_YEAR_TEST = f"case when try_cast({_CONTENT} as double) is not null then try_cast({_CONTENT} as double) > 1990 else {_CONTENT} > '1990' end"
 _ZONES = f"(select distinct s as term, 's' as z from {_T} union all select distinct o, 'o' from {_T})"
 
 
@@ -241,24 +248,12 @@ def result_count(spark: SparkSession, root: str) -> DataFrame:
 
 def db_info(spark: SparkSession, root: str) -> DataFrame:
     """(triplets, triples, predicates, entities) of ``dictionary``: rows, distinct triples, and distinct terms of each kind."""
-    rows = table(spark, root, "dictionary").where("s is not null and p is not null and o is not null")
-    unique = rows.groupBy("s", "p", "o").agg(F.count(F.lit(1)).alias("n"))
-    sums = unique.agg(F.sum("n").alias("triplets"), F.count(F.lit(1)).alias("triples"), F.countDistinct("p").alias("predicates"))
-    entities = unique.select(F.explode(F.array("s", "o")).alias("x")).distinct().agg(F.count(F.lit(1)).alias("entities"))
-    return sums.crossJoin(entities)
+    return graph_info(triple_counts(table(spark, root, "dictionary")))
 
 
 def predicate_stats(spark: SparkSession, root: str) -> DataFrame:
-    """(p, rows, subjects, objects): distinct triples, subjects and objects of each predicate of ``dictionary``.
-
-    Counted in levels instead of by sets: distinct (p, s) pairs are rows of their own, so a predicate that holds a third of
-    all triples is spread over all tasks until only its counts are left.
-    """
-    rows = table(spark, root, "dictionary").where("s is not null and p is not null and o is not null").select("s", "p", "o").distinct()
-    ends = F.array(F.struct(F.lit("s").alias("end"), F.col("s").alias("x")), F.struct(F.lit("o").alias("end"), F.col("o").alias("x")))
-    by_end = rows.select("p", F.explode(ends).alias("e")).groupBy("p", "e.end", "e.x").agg(F.count(F.lit(1)).alias("n"))
-    one = F.col("end") == "s"
-    return by_end.groupBy("p").agg(F.sum(F.when(one, F.col("n"))).alias("rows"), F.count(F.when(one, 1)).alias("subjects"), F.count(F.when(~one, 1)).alias("objects"))
+    """(p, rows, subjects, objects): distinct triples, subjects and objects of each predicate of ``dictionary``."""
+    return predicate_counts(triple_counts(table(spark, root, "dictionary"))).select("p", "rows", "subjects", "objects")
 
 
 def lookup_by_subject(spark: SparkSession, root: str) -> DataFrame:
@@ -273,16 +268,95 @@ def lookup_by_object(spark: SparkSession, root: str) -> DataFrame:
 
 def stored_database(spark: SparkSession, root: str) -> DataFrame:
     """(s, o): a database built of the good lines of ``triple_lines``, written to the shared folder and queried there."""
-    store = Store(spark, f"{shared_dir(spark)}/databases")
+    store = Store(spark, run_dir(spark, "databases"))
     store.create("delivered", good_triples(load_lines(table(spark, root, "triple_lines"))))
     return sparql(store.open("delivered"), "SELECT ?s ?o WHERE { ?s <rdf/type> ?t . ?s <prop/label> ?o }")
 
 
+@lru_cache(maxsize=8)
+def _engine_of(application: str, root: str) -> Engine:
+    spark = SparkSession.active()
+    engine = Engine(spark, run_dir(spark, "databases"))
+    # A low bound, so that predicates with a part of their own and shared parts both occur at any size of the test data.
+    engine.store.create("known", table(spark, root, "dictionary"), heavy_rows=500)
+    return engine
+
+
+def _engine(spark: SparkSession, root: str) -> Engine:
+    """An engine with the triples of ``dictionary`` as the database ``known``, built once for a session and a folder of tables."""
+    return _engine_of(spark.sparkContext.applicationId, root)
+
+
+def _over_store(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, root: _engine(spark, root).query("known", text)
+
+
+def stored_info(spark: SparkSession, root: str) -> DataFrame:
+    """(triplets, triples, predicates, entities) as the catalogue has them."""
+    return spark.createDataFrame([_engine(spark, root).store.info("known")], "triplets long, triples long, predicates long, entities long")
+
+
+def stored_predicates(spark: SparkSession, root: str) -> DataFrame:
+    """(p, rows, subjects, objects, most_s, most_o) as the catalogue has them."""
+    return _engine(spark, root).store.predicate_statistics("known").drop("part")
+
+
+def stored_preloaded(spark: SparkSession, root: str) -> DataFrame:
+    """(s, place): a query over predicates that are kept in memory."""
+    engine = _engine(spark, root)
+    engine.graph("known").preload(["<rel/locatedIn>"])
+    return engine.query("known", "SELECT ?s ?place WHERE { ?s <rdf/type> <class/station> . ?s <rel/locatedIn> ?place }")
+
+
+def stored_export(spark: SparkSession, root: str) -> DataFrame:
+    """(s, p, o): all triples of a database, exported as plain Parquet."""
+    engine, path = _engine(spark, root), run_dir(spark, "export")
+    engine.store.export("known", path)
+    return spark.read.parquet(path)
+
+
+_INFO_SQL = f"""select (select count(*) from dictionary where s is not null and p is not null and o is not null) as triplets, count(*) as triples,
+                count(distinct p) as predicates, (select count(*) from (select s from {_T} union select o from {_T})) as entities from {_T}"""
+_ASKED_SQL = f"select a.s, b.o from {_T} a join {_T} b on a.o = b.s where a.p = '<rel/partOf>' and b.p = '<prop/label>'"
+_ASKED = "SELECT ?s ?o WHERE { ?s <rel/partOf> ?x . ?x <prop/label> ?o }"
+
+
+def service_rows(spark: SparkSession, root: str) -> DataFrame:
+    """(s, o): the bindings in the JSON that the HTTP service answers with."""
+    status, pieces = Service(_engine(spark, root), fixed="known").sparql(_ASKED)
+    answer = json.loads("".join(pieces))
+    assert status == 200 and answer["head"]["vars"] == ["s", "o"] and answer["results"]["binding_cnt"] == len(answer["results"]["bindings"])
+    return spark.createDataFrame(answer["results"]["bindings"], "s string, o string")
+
+
+def engine_answer(spark: SparkSession, root: str) -> DataFrame:
+    """(s, o): the rows of the library's answer."""
+    return spark.createDataFrame(_engine(spark, root).answer("known", _ASKED).rows, "s string, o string")
+
+
+def command_line_count(spark: SparkSession, root: str) -> DataFrame:
+    """(n): how many rows the command line prints for a query, as it reports them."""
+    out = io.StringIO()
+    run_queries(_engine(spark, root), "known", [_ASKED + "\n"], out)
+    return spark.createDataFrame([(int(next(line for line in out.getvalue().split("\n") if line.startswith("rows: "))[6:]),)], "n long")
+
+
+def analyzed_path(spark: SparkSession, root: str) -> DataFrame:
+    """(a, c): ``rdf_path`` over a DataFrame whose statistics were gathered first."""
+    return sparql(FrameGraph(table(spark, root, "dictionary")).analyzed(), TRIPLES["rdf_path"][0])
+
+
+def coded_triples(spark: SparkSession, root: str) -> DataFrame:
+    """(s, p, o): the triples of ``dictionary`` turned to ids and back."""
+    triples = table(spark, root, "dictionary").where("s is not null and p is not null and o is not null").select("s", "p", "o").distinct()
+    terms = number_terms(spark, triples, run_dir(spark, "terms"))
+    return decode_triples(encode_triples(triples, terms), terms)
+
+
 def subjects_of_links(spark: SparkSession, root: str) -> DataFrame:
     """(p, s): the distinct subjects of each predicate of kind link, as one scan over all of them."""
     links = table(spark, root, "predicates").where("kind = 'link'").select("p")
-    rows = table(spark, root, "dictionary").where("s is not null and o is not null").select("p", "s").distinct()
-    return rows.join(links, "p", "left_semi")
+    return sparql(FrameGraph(table(spark, root, "dictionary").join(links, "p", "left_semi")), "SELECT DISTINCT ?p ?s WHERE { ?s ?p ?o }")
 
 
 def term_zone(spark: SparkSession, root: str) -> DataFrame:
@@ -293,7 +367,7 @@ def term_zone(spark: SparkSession, root: str) -> DataFrame:
 def term_ids(spark: SparkSession, root: str) -> DataFrame:
     """(term_id, term, zone): dense ids, shared terms first, then subjects, then objects, each by text."""
     triples = table(spark, root, "dictionary").where("s is not null and p is not null and o is not null")
-    return number_terms(spark, triples, f"{shared_dir(spark)}/terms")
+    return number_terms(spark, triples, run_dir(spark, "terms"))
 
 
 def triangle_binary(spark: SparkSession, root: str) -> DataFrame:
@@ -301,13 +375,33 @@ def triangle_binary(spark: SparkSession, root: str) -> DataFrame:
     return sparql(sales_graph(spark, root), SALES["triangle"][0], multiway=False)
 
 
-_OTHER = (triangle_binary, subjects_of_links, term_zone, term_ids, var_predicate_spo, limit_rows, result_count, db_info, predicate_stats, lookup_by_subject, lookup_by_object, stored_database)
+#: name: (query over the stored ``dictionary``, SQL)
+STORED: dict[str, tuple[str, str]] = {name.replace("rdf_", "stored_"): case for name, case in TRIPLES.items()} | {
+    "stored_spo": ("SELECT ?s ?p ?o WHERE { ?s ?p ?o }", f"select s, p, o from {_T}"),
+    "stored_by_subject": ("SELECT ?p ?o WHERE { <ent/stn-0> ?p ?o }", f"select p, o from {_T} where s = '<ent/stn-0>'"),
+    "stored_by_object": ("SELECT ?s ?p WHERE { ?s ?p <ent/stn-0> }", f"select s, p from {_T} where o = '<ent/stn-0>'"),
+    "stored_const_object": ("SELECT ?s WHERE { ?s <rdf/type> <class/station> }", f"select s from {_T} where p = '<rdf/type>' and o = '<class/station>'"),
+    "stored_subjects": ("SELECT DISTINCT ?s WHERE { ?s <rel/locatedIn> ?o }", f"select distinct s from {_T} where p = '<rel/locatedIn>'"),
+    "stored_objects": ("SELECT DISTINCT ?o WHERE { ?s <rel/locatedIn> ?o }", f"select distinct o from {_T} where p = '<rel/locatedIn>'"),
+    "stored_count": ("SELECT COUNT ?o WHERE { ?s <rel/locatedIn> ?o }", f"select o, count(*) as count from {_T} where p = '<rel/locatedIn>' group by o"),
+    "stored_oo": (
+        "SELECT ?a ?b WHERE { ?a <rel/partOf> ?x . ?b <rel/partOf> ?x }",
+        f"select a.s as a, b.s as b from {_T} a join {_T} b on a.o = b.o where a.p = '<rel/partOf>' and b.p = '<rel/partOf>'",
+    ),
+    "stored_optional_filter": (
+        "SELECT ?s ?y WHERE { ?s <rdf/type> <class/station> . OPTIONAL { ?s <prop/yearOpened> ?y FILTER(?y > 1990) } }",
+        f"""select a.s, b.o as y from {_T} a left join (select s, o from {_T} where p = '<prop/yearOpened>' and {_YEAR_TEST}) b on a.s = b.s where a.p = '<rdf/type>' and a.o = '<class/station>'""",
+    ),
+}
+
+_OTHER = (stored_info, stored_predicates, stored_preloaded, stored_export, service_rows, engine_answer, command_line_count, analyzed_path, coded_triples, triangle_binary, subjects_of_links, term_zone, term_ids, var_predicate_spo, limit_rows, result_count, db_info, predicate_stats, lookup_by_subject, lookup_by_object, stored_database)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return (
         {name: _over_sales(text) for name, (text, _) in SALES.items()}
         | {name: _over_triples(text) for name, (text, _) in TRIPLES.items()}
+        | {name: _over_store(text) for name, (text, _) in STORED.items()}
         | {f.__name__: f for f in _OTHER}
     )
 
@@ -315,13 +409,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql(lines_sql: str) -> dict[str, str]:
     """The SQL of each query; ``lines_sql`` gives (line_id, s, p, o) of the good lines of ``triple_lines``."""
     return (
-        {name: sql for name, (_, sql) in (SALES | TRIPLES).items()}
+        {name: sql for name, (_, sql) in (SALES | TRIPLES | STORED).items()}
         | {
             "var_predicate_spo": f"select s, p, o from {_T}",
             "limit_rows": "select least(17, count(*)) as n from customer",
             "result_count": f"select count(*) as n from ({SALES['cycle_4'][1]})",
-            "db_info": f"""select (select count(*) from dictionary where s is not null and p is not null and o is not null) as triplets, count(*) as triples,
-                count(distinct p) as predicates, (select count(*) from (select s from {_T} union select o from {_T})) as entities from {_T}""",
+            "db_info": _INFO_SQL,
+            "stored_info": _INFO_SQL,
+            "stored_predicates": f"""with x as (select p, 's' as e, s as x, count(*) as n from {_T} group by p, s union all select p, 'o', o, count(*) from {_T} group by p, o)
+                select p, cast(sum(n) filter (e = 's') as bigint) as rows, count(*) filter (e = 's') as subjects, count(*) filter (e = 'o') as objects,
+                    max(n) filter (e = 's') as most_s, max(n) filter (e = 'o') as most_o from x group by p""",
+            "stored_preloaded": f"select a.s, b.o as place from {_T} a join {_T} b on a.s = b.s where a.p = '<rdf/type>' and a.o = '<class/station>' and b.p = '<rel/locatedIn>'",
+            "stored_export": f"select s, p, o from {_T}",
+            "service_rows": _ASKED_SQL,
+            "engine_answer": _ASKED_SQL,
+            "command_line_count": f"select count(*) as n from ({_ASKED_SQL})",
+            "analyzed_path": TRIPLES["rdf_path"][1],
+            "coded_triples": f"select s, p, o from {_T}",
             "predicate_stats": f"select p, cast(count(*) as bigint) as rows, count(distinct s) as subjects, count(distinct o) as objects from {_T} group by p",
             "triangle_binary": SALES["triangle"][1],
             "subjects_of_links": f"select distinct p, s from {_T} where p in (select p from predicates where kind = 'link')",

@@ -10,9 +10,11 @@ import json
 import os
 import re
 import threading
+from collections.abc import Iterator
 from email.parser import BytesParser
 from email.policy import HTTP
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from itertools import chain
 from time import perf_counter
 from urllib.parse import parse_qs, urlsplit
 
@@ -25,32 +27,41 @@ BASE = os.environ.get("BRINDLE_BASE_URL", "/api")
 #: Bytes of the largest upload.
 MOST_BYTES = 1 << 30
 
+# The codes that clients of this interface know; its requests and fields are named below as they expect them.
 OK, NO_NAME, LOADED, NO_UPLOAD, NO_CREATE_NAME, NO_CREATE_FILE = 1, 2, 3, 4, 5, 6
 
 
 class Service:
     """The state behind the requests and their answers, apart from HTTP."""
 
-    def __init__(self, engine, fixed: str | None = None, folder: str = "uploads"):
-        self.engine, self.fixed, self.folder = engine, fixed, folder
+    def __init__(self, engine, fixed: str | None = None, folder: str | None = None):
+        self.engine, self.fixed, self.folder = engine, fixed, folder or f"{engine.store.root}/.uploads"
         self.lock = threading.Lock()
         self.current = fixed
         if fixed:
             engine.graph(fixed)
 
-    def sparql(self, text: str) -> tuple[int, dict]:
-        """The answer of a query: head.vars, results.bindings as lists of strings, their number, and milliseconds."""
+    def sparql(self, text: str) -> tuple[int, dict | Iterator[str]]:
+        """The answer of a query as pieces of JSON: head.vars, results.bindings as lists of strings, their number, and
+        milliseconds. The rows are sent as they come, so an answer may have any size."""
         with self.lock:
             name = self.current
         if not name:
             return 409, {"message": "no database is loaded"}
         began = perf_counter()
         try:
-            answer = self.engine.answer(name, text)
+            variables, rows = self.engine.stream(name, text)
         except QueryError as error:
             return 400, {"message": str(error)}
-        spent = (perf_counter() - began) * 1e3
-        return 200, {"head": {"vars": answer.variables}, "results": {"bindings": answer.rows, "binding_cnt": len(answer.rows), "time_cost": spent}}
+        return 200, self._pieces(variables, rows, began)
+
+    @staticmethod
+    def _pieces(variables: list[str], rows: Iterator[list[str | None]], began: float) -> Iterator[str]:
+        head, count = f'{{"head": {json.dumps({"vars": variables}, ensure_ascii=False)}, "results": {{"bindings": [', 0
+        for row in rows:
+            yield (head if not count else ",\n") + json.dumps(row, ensure_ascii=False)
+            count += 1
+        yield f'{"" if count else head}], "binding_cnt": {count}, "time_cost": {(perf_counter() - began) * 1e3}}}}}'
 
     def create(self, body: dict) -> tuple[int, dict]:
         if not body.get("db_name"):
@@ -109,23 +120,26 @@ class Service:
             return 200, {"code": NO_UPLOAD, "message": "no file was sent"}
         sent, data = files["rdf_file"]
         name = re.sub(r"[^A-Za-z0-9_.-]", "_", os.path.basename(sent.replace("\\", "/"))).lstrip(".") or "upload"
-        os.makedirs(self.folder, exist_ok=True)
-        with open(os.path.join(self.folder, name), "wb") as file:
-            file.write(data)
-        return 200, {"code": OK, "message": f"{name} is saved", "file_name": os.path.join(self.folder, name), "size": len(data)}
+        return 200, {"code": OK, "message": f"{name} is saved", "file_name": self.engine.store.upload(self.folder, name, data), "size": len(data)}
 
 
 def handler(service: Service, origin: str = "*", base: str = BASE) -> type[BaseHTTPRequestHandler]:
     class Handler(BaseHTTPRequestHandler):
-        def answer(self, status: int, body: dict, kind: str = "text/plain") -> None:
-            data = json.dumps(body, indent=2, ensure_ascii=False).encode()
+        def answer(self, status: int, pieces: dict | Iterator[str], kind: str = "text/plain") -> None:
+            """Send the first piece with the head, the others behind it; the end of the connection ends the answer."""
+            whole = json.dumps(pieces, indent=2, ensure_ascii=False) if isinstance(pieces, dict) else None
+            rest = iter(()) if whole is not None else pieces
+            first = (whole if whole is not None else next(rest)).encode()
             self.send_response(status)
             self.send_header("Content-Type", f"{kind};charset=utf-8")
-            self.send_header("Content-Length", str(len(data)))
+            if whole is not None:
+                self.send_header("Content-Length", str(len(first)))
             for name, value in (("Origin", origin), ("Methods", "POST, GET, OPTIONS"), ("Headers", "*")):
                 self.send_header(f"Access-Control-Allow-{name}", value)
             self.end_headers()
-            self.wfile.write(data)
+            self.wfile.write(first)
+            for piece in rest:
+                self.wfile.write(piece.encode())
 
         def body(self) -> bytes:
             size = int(self.headers.get("Content-Length") or 0)
@@ -167,6 +181,8 @@ def handler(service: Service, origin: str = "*", base: str = BASE) -> type[BaseH
                     out = service.upload(self.files())
                 else:
                     out = 404, {"message": "not offered"}
+                if not isinstance(out[1], dict):
+                    out = out[0], chain([next(out[1])], out[1])  # a job that fails at once is an error, not half an answer
             except ValueError as error:
                 out = 400, {"message": str(error)}
             except Exception as error:  # a failed job must not end the service
@@ -188,7 +204,7 @@ def handler(service: Service, origin: str = "*", base: str = BASE) -> type[BaseH
     return Handler
 
 
-def make_server(engine, ip: str = "127.0.0.1", port: int = 8080, name: str | None = None, origin: str = "*", folder: str = "uploads") -> ThreadingHTTPServer:
+def make_server(engine, ip: str = "127.0.0.1", port: int = 8080, name: str | None = None, origin: str = "*", folder: str | None = None) -> ThreadingHTTPServer:
     """A server that isn't running yet; port 0 takes any free one."""
     return ThreadingHTTPServer((ip, port), handler(Service(engine, name, folder), origin))
 

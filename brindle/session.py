@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,16 +17,17 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that setting is absent, as in tests on one machine, a
-    temporary folder is made.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that setting is absent and the master is this very machine, as
+    in tests, a temporary folder is made; on a cluster without the setting this is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named.rstrip("/") if named else tempfile.mkdtemp(prefix="brindle-")
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="brindle-")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def run_dir(spark: SparkSession, name: str) -> str:
+    """A folder of its own below ``shared_dir`` for each call, so that no two runs write to the same files."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

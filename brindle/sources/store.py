@@ -6,15 +6,18 @@ Layout of ``<root>/<name>``:
   A predicate with many rows has a part of its own, of as many files as it needs; the many small predicates share a fixed number
   of parts, so that the number of folders has a bound. A pattern with a known predicate reads one part, one with a
   known subject or object skips by the row groups' statistics.
-* ``predicates`` - (p, part, rows, subjects, objects), the statistics for the planner.
+* ``predicates`` - (p, part, rows, subjects, objects, most_s, most_o), the statistics for the planner.
 * ``info`` - one row (triplets, triples, predicates, entities); triplets counts the input rows with repetitions.
 * ``READY`` - written last: a database without it is not complete and can't be opened.
+
+A database is written to a folder of its own and takes its name when it is complete; the old one of that name stays until then.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +57,40 @@ def read_rejects(spark: SparkSession, path: str) -> DataFrame:
     return load_lines(lines.select(F.col("line").alias("line_id"), "line")).where("reason is not null").select(F.col("line_id").alias("line"), "reason")
 
 
+def triple_counts(triples: DataFrame) -> DataFrame:
+    """(s, p, o, n): the set of ``triples`` with the number of rows of each; rows with a null are no triples."""
+    whole = triples.select("s", "p", "o").where("s is not null and p is not null and o is not null")
+    return whole.groupBy("s", "p", "o").agg(F.count(F.lit(1)).alias("n"))
+
+
+def predicate_counts(counted: DataFrame) -> DataFrame:
+    """(p, rows, subjects, objects, most_s, most_o) of ``triple_counts``, all exact; most_s and most_o are the rows of the most
+    frequent subject and object.
+
+    Counted in levels instead of by sets: the distinct ends of a predicate are rows of their own, so one that holds a third
+    of all triples is spread over all tasks until only its counts are left.
+    """
+    ends = F.array(F.struct(F.lit("s").alias("end"), F.col("s").alias("x")), F.struct(F.lit("o").alias("end"), F.col("o").alias("x")))
+    by_end = counted.select("p", F.explode(ends).alias("e")).groupBy("p", "e.end", "e.x").agg(F.count(F.lit(1)).alias("n"))
+    one = F.col("end") == "s"
+    return by_end.groupBy("p").agg(
+        F.sum(F.when(one, F.col("n"))).alias("rows"),
+        F.count(F.when(one, 1)).alias("subjects"),
+        F.count(F.when(~one, 1)).alias("objects"),
+        F.max(F.when(one, F.col("n"))).alias("most_s"),
+        F.max(F.when(~one, F.col("n"))).alias("most_o"),
+    )
+
+
+def graph_info(counted: DataFrame) -> DataFrame:
+    """One row (triplets, triples, predicates, entities) of ``triple_counts``: its rows with and without repetitions, and the
+    distinct predicates and ends. Both branches ask for n, so that they share one aggregation."""
+    by_p = counted.groupBy("p").agg(F.sum("n").alias("triplets"), F.count(F.lit(1)).alias("triples"))
+    sums = by_p.agg(F.coalesce(F.sum("triplets"), F.lit(0)).alias("triplets"), F.coalesce(F.sum("triples"), F.lit(0)).alias("triples"), F.count(F.lit(1)).alias("predicates"))
+    ends = counted.where("n > 0").select(F.explode(F.array("s", "o")).alias("x")).distinct()
+    return sums.crossJoin(ends.agg(F.count(F.lit(1)).alias("entities")))  # one row each
+
+
 class Store:
     """The databases below a root folder of any Hadoop file system."""
 
@@ -71,7 +108,7 @@ class Store:
         if not files.exists(path):
             return []
         names = [x.getPath().getName() for x in files.listStatus(path) if x.isDirectory()]
-        return sorted(name for name in names if self.exists(name))
+        return sorted(name for name in names if _NAME.fullmatch(name) and self.exists(name))
 
     def exists(self, name: str) -> bool:
         path, files = self._path(valid_name(name), "READY")
@@ -89,17 +126,26 @@ class Store:
         """Write the set of ``triples`` (s, p, o) as a database, in place of one of that name; its info.
 
         Rows with a null are left out. Each predicate's rows are range-partitioned by their sort order, so one that
-        holds a third of all rows is spread over as many tasks as it needs.
+        holds a third of all rows is spread over as many tasks as it needs. ``triples`` may be read from the old database.
         """
-        path = f"{self.root}/{valid_name(name)}"
-        self.delete(name)
-        rows = triples.select("s", "p", "o").where("s is not null and p is not null and o is not null")
-        raw = rows.groupBy("s", "p", "o").agg(F.count(F.lit(1)).alias("n"))
+        draft = f".{valid_name(name)}.{uuid.uuid4().hex}"
+        try:
+            info = self._fill(draft, triples, heavy_rows)
+            self.delete(name)
+            (old, files), (new, _) = self._path(draft), self._path(name)
+            if not files.rename(old, new):
+                raise StoreError(f"{name!r} can't take the place of its draft")
+            return info
+        finally:
+            path, files = self._path(draft)
+            files.delete(path, True)
+
+    def _fill(self, folder: str, triples: DataFrame, heavy_rows: int) -> dict[str, int]:
+        path = f"{self.root}/{folder}"
         # The deduplicated set is written once and read for everything else: the input is parsed only once.
-        raw.write.mode("overwrite").parquet(f"{path}/set")
+        triple_counts(triples).write.mode("overwrite").parquet(f"{path}/set")
         unique = self.spark.read.parquet(f"{path}/set")
-        counts = unique.groupBy("p").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("s", 0.02).alias("subjects"), F.approx_count_distinct("o", 0.02).alias("objects"))
-        counts.write.mode("overwrite").parquet(f"{path}/counted")
+        predicate_counts(unique).write.mode("overwrite").parquet(f"{path}/counted")
         counts = self.spark.read.parquet(f"{path}/counted")
         most = counts.where(F.col("rows") >= heavy_rows).orderBy(F.desc("rows"), "p").limit(HEAVY_MOST).collect()
         heavy = {row.p: k for k, row in enumerate(most)}
@@ -107,27 +153,30 @@ class Store:
         # At most HEAVY_MOST rows: a broadcast of bounded size.
         own = F.broadcast(self.spark.createDataFrame(list(heavy.items()), "p string, own int"))
         placed = unique.join(own, "p", "left").select("s", "p", "o", F.coalesce("own", tail).cast("int").alias("part"))
-        for folder, order in (("pso", ["p", "s", "o"]), ("pos", ["p", "o", "s"])):
+        for name, order in (("pso", ["p", "s", "o"]), ("pos", ["p", "o", "s"])):
             sorted_rows = placed.repartitionByRange("part", *order).sortWithinPartitions("part", *order)
-            sorted_rows.write.mode("overwrite").partitionBy("part").parquet(f"{path}/{folder}")
+            sorted_rows.write.mode("overwrite").partitionBy("part").parquet(f"{path}/{name}")
         counts.join(own, "p", "left").withColumn("part", F.coalesce("own", tail).cast("int")).drop("own").coalesce(8).write.mode("overwrite").parquet(f"{path}/predicates")
-        sums = unique.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("triplets"), F.count(F.lit(1)).alias("triples")).first()
-        entities = unique.select(F.explode(F.array("s", "o")).alias("x")).distinct().count()
-        info = {"triplets": sums.triplets, "triples": sums.triples, "predicates": counts.count(), "entities": entities}
-        self._write(f"{path}/info", json.dumps(info))
-        for folder in ("set", "counted"):
-            part_path, files = self._path(name, folder)
+        info = graph_info(unique).first().asDict()
+        self._write(f"{path}/info", json.dumps(info).encode())
+        for name in ("set", "counted"):
+            part_path, files = self._path(folder, name)
             files.delete(part_path, True)
-        self._write(f"{path}/READY", json.dumps({"heavy": heavy, "tail": TAIL_PARTS}))
+        self._write(f"{path}/READY", json.dumps({"heavy": heavy, "tail": TAIL_PARTS}).encode())
         return info
 
-    def _write(self, path: str, text: str) -> None:
+    def _write(self, path: str, data: bytes) -> None:
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         files = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         stream = files.create(target, True)
-        stream.write(bytearray(text.encode()))
+        stream.write(bytearray(data))
         stream.close()
 
+    def upload(self, folder: str, name: str, data: bytes) -> str:
+        """Write a file to ``folder`` of the databases' file system, where executors can read it; its path."""
+        self._write(f"{folder.rstrip('/')}/{name}", data)
+        return f"{folder.rstrip('/')}/{name}"
+
     def _read(self, *steps: str) -> dict:
         path, files = self._path(*steps)
         if not files.exists(path):
@@ -147,7 +196,7 @@ class Store:
         ready, info = self._read(valid_name(name), "READY"), self._read(name, "info")
         path = f"{self.root}/{name}"
         rows = self.spark.read.parquet(f"{path}/predicates").orderBy(F.desc("rows"), "p").limit(KNOWN_MOST).collect()
-        known = {row.p: Statistics(row.rows, row.subjects, row.objects) for row in rows}
+        known = {row.p: Statistics(row.rows, row.subjects, row.objects, row.most_s, row.most_o) for row in rows}
         sums = Statistics(info["triples"], info["entities"], info["entities"])
         return StoredGraph(self.spark, path, ready["heavy"], ready["tail"], known, sums)
 
@@ -157,6 +206,6 @@ class Store:
         self.spark.read.parquet(f"{self.root}/{name}/pso").select("s", "p", "o").write.parquet(path)
 
     def predicate_statistics(self, name: str) -> DataFrame:
-        """(p, part, rows, subjects, objects); the distinct counts are estimates within about 2 %."""
+        """(p, part, rows, subjects, objects, most_s, most_o), all exact."""
         self._read(valid_name(name), "READY")
         return self.spark.read.parquet(f"{self.root}/{name}/predicates")

@@ -9,7 +9,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from brindle.engine import sparql
-from brindle.plans.syntax import Const, parse
+from brindle.plans.order import Statistics, expands
+from brindle.plans.syntax import Const, UnsupportedQuery, parse
+from brindle.sources.graph import FrameGraph
 from brindle.sources.store import Store
 
 GRAPHS = {
@@ -174,3 +176,58 @@ def test_stored_graphs_answer_alike(spark, tmp_path, name):
     for case, text in CASES:
         if case == name:
             assert Counter(tuple(r) for r in sparql(graph, text).collect()) == brute(GRAPHS[name], text)
+
+
+def test_filters_inside_optional_groups(spark):
+    triples = [("<a>", "<p>", "5"), ("<b>", "<p>", "6"), ("<a>", "<q>", "1"), ("<a>", "<q>", "9"), ("<b>", "<q>", "2")]
+    assert answer(spark, triples, "SELECT ?s ?z WHERE { ?s <p> ?v OPTIONAL { ?s <q> ?z FILTER(?z > 5) } }") == Counter({("<a>", "9"): 1, ("<b>", None): 1})
+    assert answer(spark, triples, "SELECT ?s ?z WHERE { ?s <p> ?v OPTIONAL { ?s <q> ?z FILTER(?z > 1) FILTER(?z < 5) } FILTER(?v > 5) }") == Counter({("<b>", "2"): 1})
+    for text in ("SELECT ?s WHERE { ?s <p> ?v OPTIONAL { ?s <q> ?z FILTER(?v > 5) } }", "SELECT ?s WHERE { ?s <p> ?v } LIMIT 2147483648"):
+        with pytest.raises(UnsupportedQuery):
+            parse(text)
+    assert parse("SELECT ?s WHERE { ?s <p> ?v } LIMIT 2147483647").limit == 2**31 - 1
+
+
+def test_an_optional_without_shared_variables_needs_no_broadcast(spark):
+    triples = [("<a>", "<p>", "<b>"), ("<b>", "<p>", "<c>"), ("<x>", "<q>", "1"), ("<x>", "<q>", "2")]
+    text = "SELECT ?s ?z WHERE { ?s <p> ?v OPTIONAL { ?x <%s> ?z } }"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert answer(spark, triples, text % "q") == Counter({(s, z): 1 for s in ("<a>", "<b>") for z in "12"})
+        assert answer(spark, triples, text % "none") == Counter({("<a>", None): 1, ("<b>", None): 1})
+        plan = sparql(frame(spark, triples), text % "q")._jdf.queryExecution().toString()
+        assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_terms_in_single_quotes_and_blank_nodes(spark):
+    assert answer(spark, GRAPHS["literals"], "SELECT ?s WHERE { ?s <p> 'a'@en . ?s <p> '1'^^<int> . ?s <p> _:b1 }") == Counter({("<a>",): 1})
+    assert parse("""SELECT ?s WHERE { ?s <p> 'it\\'s "x"' }""").patterns[0].o == Const('"it\'s \\"x\\""')
+
+
+def test_selective_patterns_narrow_what_is_made_distinct(spark):
+    triples = [(f"<s{k}>", p, f"<o{k % 5}>") for k in range(60) for p in ("<p>", "<q>")] + [(f"<s{k}>", "<t>", "<c>") for k in range(0, 60, 7)]
+    text = "SELECT ?s ?a ?b WHERE { ?s <t> <c> . ?s <p> ?a . ?s <q> ?b }"
+    assert answer(spark, triples * 2, text) == Counter({(f"<s{k}>", f"<o{k % 5}>", f"<o{k % 5}>"): 1 for k in range(0, 60, 7)})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sparql(frame(spark, triples * 2), text)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= 5  # two of them are the keys of the first pattern, which are reused
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_statistics_decide_about_multiway_steps():
+    p, even = parse("SELECT ?a WHERE { ?a <p> ?b . ?b <p> ?c . ?c <p> ?a }").patterns, Statistics(1e5, 1e4, 1e4, 20, 20)
+    assert expands([p[0]], [p[1], p[2]], {})
+    assert not expands([p[0]], [p[1], p[2]], {"<p>": even})
+    assert expands([p[0]], [p[1], p[2]], {"<p>": Statistics(1e5, 1e4, 1e4, 2e4, 20)})
+    assert expands([p[0]], [p[1], p[2]], {"<p>": Statistics(1e5, 1e2, 1e2)})
+
+
+def test_analyzed_graphs(spark):
+    graph = FrameGraph(frame(spark, GRAPHS["basic"] * 2)).analyzed()
+    assert graph.statistics() == {"<p>": Statistics(4, 2, 2), "<q>": Statistics(4, 2, 1)}
+    text = "SELECT ?a ?x WHERE { ?a <p> ?b . ?b <q> ?x }"
+    assert Counter(tuple(r) for r in sparql(graph, text).collect()) == brute(GRAPHS["basic"], text)

@@ -6,7 +6,7 @@ import pytest
 
 from brindle.engine import sparql
 from brindle.sources.graph import FrameGraph
-from brindle.sources.relational import sales_graph
+from brindle.sales import sales_graph
 
 QUERIES = [
     'SELECT ?c ?a WHERE { ?c <c_name> ?a . ?c <c_mktsegment> "BUILDING" . ?c <c_nationkey> ?n }',

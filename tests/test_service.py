@@ -10,8 +10,9 @@ import pytest
 
 from brindle.cli import arguments, run_queries
 from brindle.engine import Engine
-from brindle.plans.syntax import QueryError
-from brindle.server import BASE, make_server
+from brindle.plans.syntax import QueryError, parse
+from brindle.server import BASE, Service, make_server
+from brindle.session import run_dir, shared_dir
 from brindle.sources.store import StoreError, read_rejects, read_triples, valid_name
 
 FILE = """# a delivery
@@ -144,3 +145,36 @@ def test_http_with_one_database(engine, tmp_path):
     call("disconnect")
     thread.join(30)
     server.server_close()
+
+
+def test_a_database_may_be_built_from_the_one_it_replaces(spark, engine):
+    engine.store.create("copy", engine.query("one", "SELECT * WHERE { ?s ?p ?o }"))
+    assert engine.store.create("copy", engine.store.open("copy").scan(parse("SELECT ?s WHERE { ?s <p> ?o }").patterns[0]))["triples"] == 2
+    assert engine.store.list() == ["copy", "one"] and sorted(engine.answer("copy", "SELECT ?s WHERE { ?s ?p ?o }").rows) == [["<a>"], ["<b>"]]
+    with pytest.raises(Exception):  # noqa: B017
+        engine.store.create("copy", spark.range(2).selectExpr("cast(raise_error('x') as string) as s", "'p' as p", "'o' as o"))
+    assert engine.store.info("copy")["triples"] == 2 and engine.delete("copy")
+
+
+def test_answers_are_streamed(engine):
+    variables, rows = engine.stream("one", "SELECT ?s ?p ?o WHERE { ?s ?p ?o }")
+    assert variables == ["s", "p", "o"] and next(rows) and len(list(rows)) == 3
+    pieces = list(Service(engine, "one").sparql("SELECT ?s WHERE { ?s <p> ?o }")[1])
+    assert len(pieces) == 3 and json.loads("".join(pieces))["results"]["binding_cnt"] == 2
+    empty = json.loads("".join(Service(engine, "one").sparql("SELECT ?s WHERE { ?s <none> ?o }")[1]))
+    assert empty["results"]["bindings"] == [] and empty["head"]["vars"] == ["s"]
+
+
+def test_shared_folders(spark):
+    assert run_dir(spark, "x") != run_dir(spark, "x")
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+
+    with pytest.raises(ValueError):
+        shared_dir(Cluster)
