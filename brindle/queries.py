@@ -136,6 +136,21 @@ def _lines_sql() -> str:
     """
 
 
+def _rejects_sql() -> str:
+    """Escaped signs are blotted out first; then quotes and brackets pair by a pattern, terms are counted by another."""
+    inside = r"""<(?:[^"<>]|"[^"]*")*>"""
+    return rf"""
+        with good as ({_lines_sql()}),
+        l as (select line_id, trim(line, E' \t\r\n') as t from triple_lines where line is not null),
+        x as (select line_id, replace(replace(t, '\\', 'zz'), '\"', 'zz') as x from l where t <> '' and not starts_with(t, '#') and line_id not in (select line_id from good)),
+        f as (
+            select line_id, regexp_full_match(x, '(?:[^"<>]|"[^"]*"|{inside})*', 's') and not regexp_matches(x, '^(?:[^"]*"[^"]*")+(?:[^ \t@^.]|\^[^^]|\^$|\.[^ \t])', 's') as paired,
+                len(regexp_extract_all(regexp_replace(x, '\.$', ''), '(?:[^"<> \t]|"[^"]*"|{inside})+')) as n from x
+        )
+        select line_id, case when not paired then 'quoting' when n <> 3 then 'column_count' else 'invalid_value' end as reason from f
+    """
+
+
 PREPARATION: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_wide, p2_types, p4_found, p4_keys, p4_paths, p5_found, p5_loaded)}
 
 _KEYS_SQL = """
@@ -159,6 +174,7 @@ def preparation_sql() -> dict[str, str]:
             join (select s_set_ as id, pid as next_pid, count(*) as n from store where s_set_ is not null group by all) b using (id)
             group by all
         """,
+        "p5_found": _rejects_sql(),
         "p5_loaded": _lines_sql(),
     }
 

@@ -91,6 +91,7 @@ class StoredGraph(Graph):
     known: dict[str, Statistics]
     sums: Statistics
     kept: dict[str, DataFrame] = field(default_factory=dict)
+    listed: dict[str, DataFrame] = field(default_factory=dict)
 
     @property
     def spark(self) -> SparkSession:
@@ -102,6 +103,12 @@ class StoredGraph(Graph):
             if p not in self.kept:
                 self.kept[p] = self.scan(Pattern(Var("s"), Const(p), Var("o"))).persist(StorageLevel.MEMORY_AND_DISK)
 
+    def _triples(self, order: str) -> DataFrame:
+        """All triples in one of the two orders; the list of files is read once for a graph."""
+        if order not in self.listed:
+            self.listed[order] = self.session.read.schema("s string, p string, o string, part int").parquet(f"{self.path}/{order}")
+        return self.listed[order]
+
     def release(self) -> None:
         for frame in self.kept.values():
             frame.unpersist()
@@ -111,7 +118,7 @@ class StoredGraph(Graph):
         if isinstance(pattern.p, Const) and pattern.p.text in self.kept:
             return constants(self.kept[pattern.p.text], pattern)
         by_object = isinstance(pattern.o, Const) and not isinstance(pattern.s, Const)
-        held = self.session.read.schema("s string, p string, o string, part int").parquet(f"{self.path}/{'pos' if by_object else 'pso'}")
+        held = self._triples("pos" if by_object else "pso")
         if isinstance(pattern.p, Const):
             held = held.where(F.col("part") == part_of(pattern.p.text, self.heavy, self.tail))
         return constants(held.select("s", "p", "o"), pattern)
