@@ -263,6 +263,24 @@ class Transducer:
         return "".join(out) + text[at:]
 
 
+def forms_sql(column: str) -> str:
+    """SQL for the consistent form of a text without joiners that show, from the rules alone: characters are removed and replaced
+    one kind after the other and the result is composed. It is what the transducer is compared with."""
+    base = resolve(base_rules())
+    steps = {char: to for char, to in base.items() if to}
+    for char, parts in _composed().items():
+        if parts[0] in base and char not in base:
+            steps[char] = composed(base[parts[0]] + parts[1:])
+    single = {char: to for char, to in steps.items() if len(to) == 1}
+    several = {char: to for char, to in steps.items() if len(to) > 1} | dict(stroke_rules())
+    gone = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in INVISIBLE)
+    quoted = [text.replace("'", "''") for text in ("".join(single), "".join(single.values()))]
+    sql = f"translate(regexp_replace({column}, '[{gone}]', '', 'g'), '{quoted[0]}', '{quoted[1]}')"
+    for char, to in several.items():
+        sql = f"replace({sql}, '{char}', '{to}')"
+    return f"nfc_normalize({sql})"
+
+
 def _char_class(chars: set[str]) -> str:
     codes, out = sorted(map(ord, chars)), []
     while codes:

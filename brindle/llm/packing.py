@@ -5,8 +5,8 @@ smallest; that keeps no gap frequent, so that documents to come find a gap of th
 only one that may be cut; as its cuts are free, its parts first complete containers that short texts left open.
 
 The documents are spread over shards by a hash of their key. A shard holds about ``SHARD`` documents whatever the size of the corpus: the
-number of shards follows from the number of rows, so no task ever sees an unbounded group. Only (key, size) is shuffled,
-never the text. A shard leaves a few partly filled containers, a share of the space that falls with ``SHARD``.
+number of shards follows from the number of rows, so no task ever sees an unbounded group: equal rows are counted and numbered, so
+that the rows of a repeated key are spread as well. Only (key, size) is shuffled, never the text. A shard leaves a few partly filled containers, a share of the space that falls with ``SHARD``.
 """
 
 from __future__ import annotations
@@ -103,21 +103,35 @@ def pack(sizes: np.ndarray, capacity: int, least_part: int = LEAST_PART) -> tupl
     return table[:, 0], table[:, 1], table[:, 2], table[:, 3]
 
 
-def pack_sizes(df: DataFrame, key: str, size: str, capacity: int, rows: int | None = None, shard: int = SHARD) -> DataFrame:
+#: Copies of one row that are numbered at once.
+BLOCK = 10_000
+
+
+def _numbered(df: DataFrame, key: str, size: str) -> DataFrame:
+    """(key, _size, _copy) of every row of ``df``, equal rows being numbered from 0. They are counted first, which combines in the
+    map tasks, and written out again block by block, so that a repeated row is never one long list."""
+    counts = df.select(F.col(key), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size")).groupBy(key, "_size").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = counts.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {BLOCK}"))))
+    left = F.least(F.col("_n") - F.col("_block") * BLOCK, F.lit(BLOCK))
+    place = F.explode(F.sequence(F.lit(0).cast("long"), left - 1))
+    return blocks.withColumn("_place", place).select(key, "_size", (F.col("_block") * BLOCK + F.col("_place")).alias("_copy"))
+
+
+def pack_sizes(df: DataFrame, key: str, size: str, capacity: int, rows: int | None = None, shard: int = SHARD, least_part: int = LEAST_PART) -> DataFrame:
     """(key, part, start, length, container): the containers of rows with a given size.
 
     part numbers the parts of an item from 0, start and length are in units of ``size``. container is null where nothing
     is to be placed (size 0 or null). Rows with equal or null keys are items of their own. An empty table gives no rows.
-    ``rows`` is the number of rows of ``df`` if the caller knows it; else they are counted first. Keys are expected to be
-    (nearly) unique, as they spread the rows over the shards.
+    ``rows`` is the number of rows of ``df`` if the caller knows it; else they are counted first. An item beyond the capacity may
+    be cut into parts of ``least_part`` or more to complete containers; from the capacity on it is cut as seldom as can be.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     shards = max(1, -(-(df.count() if rows is None else rows) // shard))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_tie"], kind="stable", ignore_index=True)
-        item, start, length, container = pack(group["_size"].to_numpy(np.int64), capacity)
+        group = group.sort_values(["_tie", "_copy"], kind="stable", ignore_index=True)
+        item, start, length, container = pack(group["_size"].to_numpy(np.int64), capacity, least_part)
         out = pd.DataFrame({"item": item, "start": start, "length": length, "container": container})
         out = out.sort_values(["item", "start"], ignore_index=True)
         out["part"] = out.groupby("item").cumcount()
@@ -127,16 +141,15 @@ def pack_sizes(df: DataFrame, key: str, size: str, capacity: int, rows: int | No
         return out[[key, "part", "start", "length", "container"]]
 
     schema = T.StructType([df.schema[key], *(T.StructField(name, T.LongType(), True) for name in ("part", "start", "length", "container"))])
-    tie = F.xxhash64(F.col(key), F.col(size))
-    sized = df.select(F.col(key), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"), tie.alias("_tie"))
-    # A null key has no hash of its own: its rows are spread by their size, so that many of them don't meet in one shard.
-    sharded = sized.withColumn("_shard", F.pmod(F.xxhash64(F.lit(7), F.col(key), F.when(F.col(key).isNull(), F.col("_size"))), F.lit(shards)).cast("int"))
+    # A null key has no hash of its own: size and number of the copy spread its rows.
+    tied = _numbered(df, key, size).withColumn("_tie", F.xxhash64(key, "_size"))
+    sharded = tied.withColumn("_shard", F.pmod(F.xxhash64(F.lit(7), F.col(key), F.when(F.col(key).isNull(), F.col("_size")), F.when(F.col("_copy") > 0, F.col("_copy"))), F.lit(shards)).cast("int"))
     return sharded.groupBy("_shard").applyInPandas(run, schema)
 
 
-def pack_documents(df: DataFrame, capacity: int = 2048, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
+def pack_documents(df: DataFrame, capacity: int = 2048, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = VOCABULARIES, least_part: int = LEAST_PART) -> DataFrame:
     """(key, part, start, length, container) of every document, measured in tokens of ``name``.
 
     Null and empty texts come out with length 0 and a null container. Other columns of ``df`` are ignored.
     """
-    return pack_sizes(count_tokens(df, key, text, name, folder), key, "n_tokens", capacity, df.count())
+    return pack_sizes(count_tokens(df, key, text, name, folder), key, "n_tokens", capacity, df.count(), least_part=least_part)

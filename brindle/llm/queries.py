@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.encode import encode_texts
+from brindle.llm.encode import decode_texts, encode_texts
 from brindle.llm.frequent import frequent_values, top_values
-from brindle.llm.glyphs import consistent, same_looking_classes, same_looking_pairs
+from brindle.llm.glyphs import consistent, forms_sql, same_looking_classes, same_looking_pairs
 from brindle.llm.packing import pack_documents
 from brindle.llm.residue import find_residue, without_residue
 from brindle.session import table
@@ -56,6 +56,22 @@ def p7_containers(spark: SparkSession, root: str) -> DataFrame:
     return pack_documents(table(spark, root, "documents"), 2048)
 
 
+def p6_texts(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, text): every document from its ids, which gives its text again."""
+    return decode_texts(p6_ids(spark, root))
+
+
+def p7_whole(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, whole): of every document with tokens, whether its parts follow each other without a gap, none of its containers
+    holds more than the capacity, and it is cut only if it is longer than that."""
+    placed = p7_containers(spark, root).where("container is not null")
+    loaded = placed.withColumn("load", F.sum("length").over(Window.partitionBy("container")))
+    by_document = loaded.groupBy("doc_id").agg(
+        F.sum("length").alias("total"), F.count(F.lit(1)).alias("parts"), F.max("part").alias("last"), F.min("start").alias("first"), F.max(F.col("start") + F.col("length")).alias("end"), F.max("load").alias("load")
+    )
+    return by_document.select("doc_id", F.expr("first = 0 and end = total and last + 1 = parts and load <= 2048 and (parts = 1 or total > 2048)").alias("whole"))
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     """(doc_id): documents with residue in place of content."""
     return find_residue(table(spark, root, "documents")).select("doc_id")
@@ -67,7 +83,7 @@ def p8_kept(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p1_forms, p3_found, p3_top, p6_ids, p7_containers, p8_found, p8_kept)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p1_forms, p3_found, p3_top, p6_ids, p6_texts, p7_containers, p7_whole, p8_found, p8_kept)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -76,6 +92,9 @@ def oracle_sql() -> dict[str, str]:
         n as (select field, item, count(*) as n from long where item is not null group by field, item)
     """
     return {
+        "p1_forms": f"select row_id, {forms_sql('o')} as form from dictionary where p in (select p from predicates where kind = 'text')",
+        "p6_texts": "select doc_id, coalesce(text, '') as text from documents",
+        "p7_whole": "select doc_id, true as whole from documents where length(text) > 0",
         "p3_found": counts + "select field, item from n where n >= 0.005 * (select count(*) from dictionary)",
         "p3_top": counts
         + """

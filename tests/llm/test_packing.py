@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -78,3 +80,25 @@ def test_documents_are_measured_in_tokens(spark, data):
     out = pack_documents(docs, 512).groupBy("doc_id").agg({"length": "sum"}).collect()
     want = {r.doc_id: len(encode(r.text)) for r in docs.select("doc_id", "text").collect()}
     assert {r[0]: r[1] for r in out} == want
+
+
+def test_repeated_rows_are_spread(spark):
+    rows = spark.range(3000).selectExpr("case when id < 2500 then 7 else id end as k", "cast(case when id < 2500 then 30 else 10 + id % 90 end as int) as n")
+    rows = rows.unionByName(spark.range(700).selectExpr("cast(null as long) as k", "40 as n"))
+    parts = pack_sizes(rows, "k", "n", 100, shard=50).collect()
+    assert len(parts) == 3700 and sum(r.length for r in parts) == rows.agg({"n": "sum"}).first()[0]
+    assert Counter(r.k for r in parts)[7] == 2500 and Counter(r.k for r in parts)[None] == 700
+    load = Counter()
+    for r in parts:
+        load[r.container] += r.length
+    assert max(load.values()) <= 100
+    by_shard = Counter(r.container >> 32 for r in parts)
+    assert len(by_shard) > 60 and max(by_shard.values()) < 150
+
+
+def test_least_part(spark):
+    rows = spark.createDataFrame([(1, 250), (2, 60), (3, 30)], "k long, n int")
+    cut = {row.k: [] for row in rows.collect()}
+    for row in pack_sizes(rows, "k", "n", 100, least_part=100).collect():
+        cut[row.k].append((row.start, row.length))
+    assert sorted(cut[1]) == [(0, 100), (100, 100), (200, 50)] and cut[2] == [(0, 60)]
