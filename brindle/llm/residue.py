@@ -48,7 +48,7 @@ _LATIN_WORDS = (
     "lorem ipsum amet consectetur eiusmod incididunt commodo labore cupidatat proident nostrud mollit veniam aliqua excepteur "
     "vivamus rutrum officia deserunt pariatur fugiat laboris tempor adipiscing voluptate pellentesque vestibulum"
 ).split()
-_LATIN = re.compile(rf"\b(?:{'|'.join(_LATIN_WORDS)})\b", re.IGNORECASE)
+_LATIN = re.compile(rf"(?<!\S)(?:{'|'.join(_LATIN_WORDS)})\b", re.IGNORECASE)
 
 # What is typed to fill a space, and the words that are typed with it but also have a meaning.
 TYPED_WORDS = frozenset("text test word words sample dummy string bar and".split())
@@ -305,15 +305,15 @@ CHROME = _any(
 #: A comment behind an even number of backslashes, of up to four; slots are none.
 _COMMENT = re.compile(r"%(?:(?<!\\%)|(?<=[^\\]\\\\%)|(?<=[^\\]\\\\\\\\%))(?<![{<]%)(?![}>])(?![A-Z][A-Z0-9_]{2,}%)[^\n]*")
 _BLOCK = re.compile(
-    r"\\(?P<off>iffalse)\b|\\begin\{(?P<env>comment|verbatim\*?|Verbatim|lstlisting|minted|alltt|filecontents\*?|code|listing)\}|(?P<fence>```)"
-    r"|\\(?:verb|lstinline)\*?(?P<mark>[^\sA-Za-z*])[^\n]*?(?P=mark)|\\(?:texttt|url|path|code)(?=\{)"
+    r"\\(?:(?P<off>iffalse)\b|begin\{(?P<env>comment|verbatim\*?|Verbatim|lstlisting|minted|alltt|filecontents\*?|code|listing)\}"
+    r"|(?:verb|lstinline)\*?(?P<mark>[^\sA-Za-z*])[^\n]*?(?P=mark)|(?:texttt|url|path|code)(?=\{))|(?P<fence>```)"
 )
 _FI = re.compile(r"\\fi\b")
 #: Where a block ends that is never closed.
 _BREAK = re.compile(r"\n[ \t]*\n|\\(?:(?:sub)*section|chapter|end\{document\})(?![A-Za-z])")
 _BIBLIOGRAPHY = re.compile(r"\\begin\{thebibliography\}.*?(?:\\end\{thebibliography\}|(?=\\(?:section|appendix|end\{document\}))|\Z)", re.DOTALL)
 _ENTRIES = re.compile(r"^@\w+\{[^\n]*,\s*\n(?:[^\n]*=[^\n]*\n)*\}?", re.MULTILINE)
-_HEADED = re.compile(r"(?<!\\def)\\(?P<headed>title|author|caption|abstract|keywords?|affiliations?|affil|address|institut(?:e|ion))\s*(?:\[[^\[\]\n]*\])?\s*\{")
+_HEADED = re.compile(r"\\(?<!\\def\\)(?P<headed>title|author|caption|abstract|keywords?|affiliations?|affil|address|institut(?:e|ion))\s*(?:\[[^\[\]\n]*\])?\s*\{")
 _ROLES = {"title": "title", "caption": "body", "abstract": "body", "keyword": "body", "keywords": "body"}  # all others name authors
 #: What a head may hold of the text itself.
 _OF_HEAD = re.compile(_HEADED.pattern + r"|\\begin\{(?P<part>abstract|keywords?|IEEEkeywords|affiliations?)\}")
@@ -349,6 +349,10 @@ _FRAME = re.compile(r"File \".+\", line \d+|at [\w.$<>/]+\(.*\)|#\d+ .*\(|\.\.\.
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+|\n+")
 
 
+#: Braces among which the end of an argument is looked for before all of the text are matched.
+NEAR = 200
+
+
 def _braces(text: str) -> dict[int, int]:
     """Where each opening brace that is closed is closed, from one pass over all braces that are not escaped."""
     closed, opened = {}, []
@@ -360,6 +364,32 @@ def _braces(text: str) -> dict[int, int]:
     return closed
 
 
+class _Closing:
+    """Where the braces of a text close. A near end is looked for from its brace; the first far one makes the map of all."""
+
+    def __init__(self, text: str):
+        self.text, self.all = text, None
+
+    def get(self, at: int, default: int | None = None) -> int | None:
+        if self.text[at : at + 1] != "{":
+            return default
+        if self.all is None:
+            depth = 0
+            for count, found in enumerate(_BRACE.finditer(self.text, at)):
+                if found.group() == "{":
+                    depth += 1
+                elif found.group() == "}":
+                    depth -= 1
+                    if not depth:
+                        return found.start()
+                if count == NEAR:
+                    break
+            else:
+                return default
+            self.all = _braces(self.text)
+        return self.all.get(at, default)
+
+
 def _outside(text: str) -> list[int]:
     return [found.start() for found in _OUTSIDE.finditer(text)]
 
@@ -387,7 +417,7 @@ def _without_blocks(text: str) -> str:
             at = behind
         elif not found["mark"]:
             if braces is None:
-                braces = _braces(text)
+                braces = _Closing(text)
             end = braces.get(at, -1)
             if end < 0 or "\n" in text[at:end]:
                 out.append(found.group())  # no code: the argument spans lines or isn't closed
@@ -429,7 +459,7 @@ def passages(text: str) -> Iterator[tuple[str, str]]:
         if "\\documentclass" in body:
             body = re.sub(r"(?m)^\\(?:documentclass|usepackage|(?:re)?newcommand|DeclareRobustCommand|def|input)\b[^\n]*$", "", body)
     else:
-        closed, outside, behind = _braces(head), _outside(head), 0
+        closed, outside, behind = _Closing(head), _outside(head), 0
         while found := _OF_HEAD.search(head, behind):
             if found["part"]:
                 end = head.find(f"\\end{{{found['part']}}}", found.end())
@@ -438,7 +468,7 @@ def passages(text: str) -> Iterator[tuple[str, str]]:
                 argument, behind = _argument(head, found.end(), closed, outside)
             yield from _headed(found["part"] or found["headed"], argument)
     declared = set(_THEOREM.findall(text)) if "\\new" in text or "\\declare" in text else set()
-    closed, outside, at, behind = _braces(body), _outside(body), 0, 0
+    closed, outside, at, behind = _Closing(body), _outside(body), 0, 0
     while True:
         found = _CUT.search(body, behind)
         piece = body[at : found.start() if found else len(body)]
@@ -478,7 +508,7 @@ def _headed(command: str, argument: str) -> Iterator[tuple[str, str]]:
     yield role, _VALUE.sub("={", argument[at:])
 
 
-def _argument(text: str, at: int, closed: dict[int, int], outside: list[int]) -> tuple[str, int]:
+def _argument(text: str, at: int, closed: _Closing, outside: list[int]) -> tuple[str, int]:
     """The text of a braced argument that begins at ``at``, and its end; a missing brace ends it with the line."""
     end = closed.get(at - 1)
     if end is not None and bisect(outside, at) == bisect(outside, end):
@@ -487,7 +517,7 @@ def _argument(text: str, at: int, closed: dict[int, int], outside: list[int]) ->
     return text[at : end if end >= 0 else len(text)], end if end >= 0 else len(text)
 
 
-def _arguments(body: str, env: str, at: int, declared: set[str], closed: dict[int, int]) -> Iterator[tuple[str | None, int]]:
+def _arguments(body: str, env: str, at: int, declared: set[str], closed: _Closing) -> Iterator[tuple[str | None, int]]:
     """(text, end) of each argument behind the \\begin of ``env``, null for layout; what is no argument is part of the passage."""
     layout = _LAYOUT.fullmatch(env)
     option = layout or env in declared or _OPTION.fullmatch(env)
@@ -496,8 +526,8 @@ def _arguments(body: str, env: str, at: int, declared: set[str], closed: dict[in
         if option and (found := _BRACKET.match(body, at)):
             at = found.end()
             yield (None if layout else found.group()[1:-1]), at
-        elif braced and at in closed and (layout or body[at + 1] != "{"):
-            begin, at = at + 1, closed[at] + 1
+        elif braced and (end := closed.get(at)) is not None and (layout or body[at + 1] != "{"):
+            begin, at = at + 1, end + 1
             yield (None if layout else body[begin : at - 1]), at
         else:
             return
@@ -574,9 +604,9 @@ def _phrases() -> ahocorasick.Automaton:
             kinds[f"\n{head}"] = kinds.get(f"\n{head}", 0) | kind
     for word in ("error:", "exception:", "<style", "<script", "<!--"):
         kinds[word] = _SAY
-    for word in (*_LATIN_WORDS, *_FILLER_NAMES, "xxx", *(letter * 5 for letter in ascii_lowercase)):
+    for word in (*_FILLER_NAMES, "xxx", *(letter * 5 for letter in ascii_lowercase)):
         kinds[word] = _FILL
-    for word in TYPED - TYPED_WORDS:
+    for word in (*_LATIN_WORDS, *(TYPED - TYPED_WORDS)):
         kinds[f" {word}"] = kinds[f"\n{word}"] = _FILL
     found = ahocorasick.Automaton()
     for phrase, kind in kinds.items():
