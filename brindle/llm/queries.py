@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.encode import decode_texts, encode_texts
-from brindle.llm.frequent import frequent_values, top_values
+from brindle.llm.frequent import count_values, frequent_values, top_values
 from brindle.llm.glyphs import consistent, forms_sql, same_looking_classes, same_looking_pairs
 from brindle.llm.packing import pack_documents
 from brindle.llm.residue import find_residue, without_residue
@@ -46,6 +46,11 @@ def p3_top(spark: SparkSession, root: str) -> DataFrame:
     return top_values(table(spark, root, "dictionary"), ["p", "o"], 100)
 
 
+def p3_counts(spark: SparkSession, root: str) -> DataFrame:
+    """(field, item, n): every value of p and of o with its exact count; nulls have a null item."""
+    return count_values(table(spark, root, "dictionary"), ["p", "o"])
+
+
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     """(doc_id, ids): every document in byte_bpe_50k, without special tokens."""
     return encode_texts(table(spark, root, "documents"))
@@ -83,7 +88,7 @@ def p8_kept(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p1_forms, p3_found, p3_top, p6_ids, p6_texts, p7_containers, p7_whole, p8_found, p8_kept)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p1_forms, p3_found, p3_top, p3_counts, p6_ids, p6_texts, p7_containers, p7_whole, p8_found, p8_kept)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -96,6 +101,7 @@ def oracle_sql() -> dict[str, str]:
         "p6_texts": "select doc_id, coalesce(text, '') as text from documents",
         "p7_whole": "select doc_id, true as whole from documents where length(text) > 0",
         "p3_found": counts + "select field, item from n where n >= 0.005 * (select count(*) from dictionary)",
+        "p3_counts": "select 'p' as field, p as item, count(*) as n from dictionary group by p union all select 'o', o, count(*) from dictionary group by o",
         "p3_top": counts
         + """
         , r as (select field, item, n, row_number() over (partition by field order by n desc, item) as rank from n)
