@@ -77,7 +77,7 @@ def encode(text: str | None, name: str = "byte_bpe_50k", folder: str = VOCABULAR
 
 def decode(ids, name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> str:
     """The text of ``ids``: the raw bytes of all tokens are joined first, as a token may end inside a character."""
-    return encoding(name, folder).decode_bytes([int(x) for x in ids]).decode("utf-8")
+    return encoding(name, folder).decode_bytes(np.asarray(ids, np.int32).tolist()).decode("utf-8")
 
 
 def _slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
@@ -137,7 +137,9 @@ def decode_texts(df: DataFrame, key: str = "doc_id", ids: str = "ids", name: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if x.as_py() is None else decode(x.as_py(), name, folder) for x in batch.column(1)]
+            lists = batch.column(1)
+            flat, ends, held = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), lists.is_valid().to_numpy(zero_copy_only=False)
+            texts = [decode(flat[a:b], name, folder) if valid else None for a, b, valid in zip(ends[:-1], ends[1:], held, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
     schema = T.StructType([df.schema[key], T.StructField("text", T.StringType(), True)])
