@@ -6,6 +6,8 @@ bare token. All expressions run inside generated code; none of them raises on od
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,9 +94,15 @@ def canonical_value(o: Column, datatype: Column) -> Column:
     return _canonical(text, F.btrim(text, F.lit(_SPACES)), datatype)
 
 
+@lru_cache(maxsize=4)
+def _canonical_columns(_gateway: int) -> Column:
+    """The expression on the columns of ``with_canonical``: it is long, and made once for a connection to the JVM."""
+    return _canonical(F.col("_text"), F.col("_value"), F.col("_type"))
+
+
 def with_canonical(df: DataFrame, o: Column, datatype: Column, name: str, *kept: str) -> DataFrame:
     """(*kept, name): the columns ``kept`` of ``df`` and the canonical text of ``o`` read as ``datatype``, as ``canonical_value``
     has it. Content and trimmed content are columns of their own on the way, so each is worked out once for a row."""
     texts = df.select(*kept, content(o).alias("_text"), datatype.alias("_type"))
     values = texts.select(*kept, "_text", "_type", F.btrim("_text", F.lit(_SPACES)).alias("_value"))
-    return values.select(*kept, _canonical(F.col("_text"), F.col("_value"), F.col("_type")).alias(name))
+    return values.select(*kept, _canonical_columns(id(df.sparkSession.sparkContext._gateway)).alias(name))
