@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.terms import content
-from brindle.plans.order import estimated_rows, expands, ordered
+from brindle.plans.order import estimated_rows, expands, multiplies, ordered
 from brindle.plans.syntax import Comparison, Pattern, Query, Term, Var
 from brindle.sources.graph import Graph
 
@@ -126,6 +126,37 @@ def _narrowed(one: Input, shared: list[str], done: list[Input]) -> DataFrame:
     return one.distinct()
 
 
+#: Rows of one key on either side from which its pairs are made in blocks, of at most about so many rows by so many.
+BLOCK_ROWS = 1024
+#: Keys split into blocks, those with the most blocks. Each other key has less than one in so many of all blocks.
+SPLIT_KEYS = 10_000
+
+
+def _blocks(left: DataFrame, right: DataFrame, shared: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The join of two sets of rows on ``shared`` whose result is far larger than both.
+
+    The pairs of a key are dealt out as a grid of blocks by hashes of the whole rows: a row of the left goes to its line of the grid, a
+    row of the right to its column, each copied along it. The copies are at most about 2 / ``block_rows`` of the pairs. The number of
+    tasks is fixed, as adaptive execution would merge tasks by the bytes that they read, whatever they make of them.
+    """
+    counts = left.groupBy(*shared).agg(F.count(F.lit(1)).alias("rows_l")).join(right.groupBy(*shared).agg(F.count(F.lit(1)).alias("rows_r")), shared)
+    lines, columns = (F.max(F.ceil(F.col(rows) / block_rows)).cast("int").alias(name) for rows, name in (("rows_l", "lines"), ("rows_r", "columns")))
+    hot = counts.where(F.greatest("rows_l", "rows_r") > block_rows).groupBy(F.xxhash64(*shared).alias("key_hash")).agg(lines, columns)
+    hot = F.broadcast(hot.orderBy(F.desc(F.col("lines").cast("long") * F.col("columns")), "key_hash").limit(SPLIT_KEYS))
+    spark = left.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+
+    def dealt(side: DataFrame, own: str, own_parts: str, other: str, other_parts: str) -> DataFrame:
+        parts = {name: F.coalesce(name, F.lit(1)) for name in (own_parts, other_parts)}
+        placed = side.withColumn("key_hash", F.xxhash64(*shared)).join(hot, "key_hash", "left")
+        own_part = F.pmod(F.xxhash64(*side.columns), parts[own_parts]).cast("int").alias(own)
+        placed = placed.select(*side.columns, own_part, F.explode(F.sequence(F.lit(0), parts[other_parts] - 1)).alias(other))
+        return placed.repartition(tasks, *shared, "line", "column")
+
+    pairs = dealt(left, "line", "lines", "column", "columns").hint("merge").join(dealt(right, "column", "columns", "line", "lines"), [*shared, "line", "column"])
+    return pairs.drop("line", "column")
+
+
 def _conjunction(graph: Graph, patterns: tuple[Pattern, ...], wanted: set[str] | None = None, multiway: bool | None = None) -> DataFrame:
     """The inner join of all patterns. Each is an input of its own, joined on every variable that is bound already; inputs
     that close a cycle by one new variable are taken in one step where the statistics call for it, or as ``multiway`` tells.
@@ -157,6 +188,8 @@ def _conjunction(graph: Graph, patterns: tuple[Pattern, ...], wanted: set[str] |
                 result = result.join(one.keys(shared), shared, "left_semi")
             elif used is not None and shared and not (set(result.columns) - set(shared)) & used:
                 result = one.distinct().join(result.select(shared).distinct(), shared, "left_semi")
+            elif shared and multiplies([p for x in done for p in x.patterns], one.patterns, graph.statistics(), graph.total()):
+                result = _blocks(result, _narrowed(one, shared, done), shared)
             else:
                 result = result.join(_narrowed(one, shared, done), shared) if shared else result.crossJoin(one.distinct())
         done.append(one)
